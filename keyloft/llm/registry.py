@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from keyloft.llm import minhash
+from keyloft.llm import minhash, packing, tokens
 
 QUERIES = {
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
+    "op6_token_counts": tokens.op6_token_counts,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
 #: DuckDB SQL with the same result. Where SQL can't express a query, tests/llm compares it with brute force.
