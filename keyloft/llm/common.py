@@ -106,7 +106,7 @@ def let(value: Column, body) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     """A to Z in lower case, every other character as it is."""
-    return F.translate(text, UPPER, LOWER)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def white_words(text: Column) -> Column:
