@@ -9,8 +9,8 @@ Bands of the signature propose candidates, and every link is confirmed on full s
 1. texts with equal sets form one class, represented by its smallest doc_id;
 2. in each bucket of a band the members are compared to the bucket's smallest member, first once per member, then
    wherever the two are not yet in one component;
-3. in buckets that still hold several components, every pair across components is compared, unless sizes or the triangle
-   inequality of the Jaccard distance (through the bucket's smallest member) rule the link out.
+3. in buckets that still hold several components, every pair across components is compared, unless the sizes of the two
+   sets and of what each shares with any document of such buckets at all rule the link out.
 
 So no bucket is expanded into all its pairs, none is capped, and the components are those of the full link relation. A
 pair of similarity 0.8 shares none of 32 bands of 4 coordinates with a chance of about 5e-8.
@@ -113,6 +113,22 @@ def _measure(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return pairs.select("a", "b").join(ta, "a").join(tb, "b").mapInArrow(run, "a long, b long, common long, size_a long, size_b long")
 
 
+def _private(texts: DataFrame, width: int) -> DataFrame:
+    """rep, private: how many shingles of a document no other of these documents holds; documents without any are left out."""
+
+    def run(batches):
+        kinds = pa.schema([("rep", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [s.view(np.int64) for s in shingle_sets(_utf8(part.column("text")), width)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], schema=kinds)
+
+    held = texts.select("doc_id", "text").mapInArrow(run, "rep long, hashes array<long>").select("rep", F.explode("hashes").alias("h"))
+    private = held.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last").groupBy("rep").agg(F.count("*").alias("private"))
+    return private
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """Components of documents whose shingle sets have ``100 * common >= percent * union``.
 
@@ -158,20 +174,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     several_roots = mixed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     mixed = scratch.save(mixed.join(several_roots, "key"), "mixed")
     if not mixed.isEmpty():
-        to_leader = mixed.filter("rep > leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-        measured = scratch.save(_measure(to_leader, texts, width), "measured")
-        far = measured.select(F.col("a").alias("rep"), F.col("b").alias("leader"), (1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("far")).groupBy("rep", "leader").agg(F.min("far").alias("far"), F.max("far").alias("far_most"))
-        mixed = mixed.join(far, ["rep", "leader"], "left").fillna(0.0, ["far", "far_most"])
+        own = scratch.save(_private(texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width), "private")
         sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("size"))
         major = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most")).select("key", F.col("most.root").alias("major"))
-        mixed = scratch.save(mixed.join(major, "key").select("key", "rep", "n", "root", "far", "far_most", "major", "leader"), "pivoted")
-        x = mixed.filter("root <> major and rep > leader").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("far").alias("fa"), F.col("far_most").alias("ma"))
-        y = mixed.filter("rep > leader").select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("far").alias("fb"), F.col("far_most").alias("mb"), (F.col("root") == F.col("major")).alias("in_major"))
-        near = 1 - percent / 100 + 1e-9
-        cross = x.join(y, "key").filter("ra <> rb and (in_major or a < b)").filter((F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")) & (F.col("fa") - F.col("mb") <= near) & (F.col("fb") - F.col("ma") <= near))
+        # whatever two documents share is private to neither, so a document with many private shingles has no link at all
+        able = mixed.join(own, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("private", F.lit(0))).filter(F.col("shared") * 100 >= percent * F.col("n"))
+        able = scratch.save(able.join(major, "key").select("key", "rep", "n", "shared", "root", (F.col("root") == F.col("major")).alias("in_major")), "able")
+        x = able.filter("not in_major").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("root").alias("ra"))
+        y = able.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("root").alias("rb"), "in_major")
+        most = F.least("sa", "sb")
+        cross = x.join(y, "key").filter("ra <> rb and (in_major or a < b)").filter(most * 100 >= percent * (F.col("na") + F.col("nb") - most))
         cross = scratch.save(_measure(cross.select("a", "b").distinct(), texts, width).filter(linked).select("a", "b"), "cross")
         if not cross.isEmpty():
-            labels = components(links.union(cross).union(measured.filter(linked).select("a", "b")), scratch)
+            labels = components(links.union(cross), scratch)
 
     out = placed.join(labels.select(F.col("v").alias("rep"), "root"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))

@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
 
     def run(batches):
         kinds = pa.schema([(c, pa.int64()) for c in ("doc_id", "piece", "start", "length", "ids_crc32")])
-        encoder = Encoder(tokenizer, lambda ids: np.array(ids, "<u4").tobytes(), "ids")
+        encoder = Encoder(tokenizer, lambda ids: np.asarray(ids, "<u4").tobytes(), "ids")
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):

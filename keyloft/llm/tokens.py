@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ SEGMENT, CALL_BYTES, REMEMBER, LONGEST = 1 << 16, 1 << 18, 500_000, 64
 _INSIDE_WHITE = re.compile(r"\s \s")
 _AFTER_WORD = re.compile(r"(?<=\S)(?= )")
 _BREAK = re.compile(r"(?<=\S) ")
+#: A word of Latin letters, which is one token group, and perhaps a full stop or comma, which is another.
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
 
 
 def segments(text: str, limit: int = SEGMENT) -> list[str]:
@@ -80,7 +84,13 @@ class Encoder:
             store[key] = Tokenizer.from_file(path)
             store[key].no_truncation()
             store[key].no_padding()
-        self.tokenizer, self.reduce = store[key], reduce
+            ends = None
+            if self.units is word_units:
+                vocabulary = store[key].get_vocab()
+                ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+                ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+            store[("ends", path)] = ends
+        self.tokenizer, self.reduce, self.ends = store[key], reduce, store[("ends", path)]
         self.known: dict[str, object] = store.setdefault(("units", path, name), {})
 
     def learn(self, units: set[str]) -> list[str]:
@@ -90,19 +100,37 @@ class Encoder:
         too many of a call's units are missing from it.
         """
         room, brief = len(self.known) < REMEMBER, []
-        call: list[str] = []
-        size = 0
-        for u in [*units, None]:
-            if call and (u is None or size + len(u) > CALL_BYTES):
-                for x, e in zip(call, self.tokenizer.encode_batch_fast(call, add_special_tokens=False)):
-                    self.known[x] = self.reduce(e.ids)
-                brief += call if not room else [x for x in call if len(x) > LONGEST]
-                call, size = [], 0
-            if u is not None:
-                call.append(u)
-                size += len(u)
+        joined = [u for u in units if _WORD.fullmatch(u)] if self.ends is not None else []
+        for plain, group in ((False, units.difference(joined) if joined else units), (True, joined)):
+            call: list[str] = []
+            size = 0
+            for u in [*group, None]:
+                if call and (u is None or size + len(u) > CALL_BYTES):
+                    if plain:
+                        self.encode_joined(call)
+                    else:
+                        for x, e in zip(call, self.tokenizer.encode_batch_fast(call, add_special_tokens=False)):
+                            self.known[x] = self.reduce(e.ids)
+                    brief += call if not room else [x for x in call if len(x) > LONGEST]
+                    call, size = [], 0
+                if u is not None:
+                    call.append(u)
+                    size += len(u)
         return brief
 
+    def encode_joined(self, call: list[str]) -> None:
+        """Encodes words in one text and cuts the ids after each word's last token, which the vocabulary marks."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(call)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        parts = np.cumsum([2 if x[-1] in ".," else 1 for x in call])
+        if len(last) != parts[-1]:
+            raise RuntimeError("the vocabulary does not mark the last token of a word")
+        at = 0
+        whole = ids.tobytes()
+        for x, to in zip(call, last[parts - 1].tolist()):
+            self.known[x] = to - at if self.reduce is len else self.reduce(np.frombuffer(whole, "<u4", to - at, 4 * at))
+            at = to
+
     def values(self, texts: list[str]):
         """For each text, the reduced encodings of its units in order, as an iterator to be used up at once."""
         at = 0
@@ -116,7 +144,7 @@ class Encoder:
             new = seen.difference(self.known)
             brief = self.learn(new)
             for parts in cut:
-                yield (v for units in parts for v in map(self.known.__getitem__, units))
+                yield chain.from_iterable(map(self.known.__getitem__, units) for units in parts)
             if len(self.known) - len(brief) >= REMEMBER and 2 * len(new) > len(seen):
                 self.known.clear()
             else:
