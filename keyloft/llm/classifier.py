@@ -194,6 +194,21 @@ class QualityModel:
         return x.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold; learned from their own labelled part."""
+    labelled = docs.join(labels.filter("quality is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    model = QualityModel(document_statistics(labelled), labels)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                x = statistics([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]).astype(np.float64)
+                yield part.filter(pa.array(model.probabilities(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 

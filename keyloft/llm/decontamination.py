@@ -69,9 +69,9 @@ def _anchors(docs: DataFrame, windows: DataFrame, lengths: list[int], hint, scra
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """rid, doc_id, n_words, start, length, items: each place (from 0) where a window occurs in a document.
+    """rid, doc_id, text_key, n_words, start, length, items: each place (from 0) where a window occurs in a document.
 
-    rid numbers the rows of docs. Each row of docs also has at least one row here with start, length and items null.
+    rid numbers the rows of docs, text_key is xxhash64 of the text. Each row of docs also has at least one row here with start, length and items null.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontamination")
@@ -79,34 +79,34 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadca
     bytes_of = F.lit(64) + F.aggregate("words", F.lit(0), lambda a, x: a + F.octet_length(x) + 16) + 16 * F.size("items")
     size, lengths = windows.agg(F.coalesce(F.sum(bytes_of), F.lit(0)), F.sort_array(F.collect_set("k"))).first()
     small = size <= broadcast_bytes
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
     if not small:
         rows = scratch.save(rows, "rows")
-    rows = rows.select("rid", "doc_id", alnum_words(F.col("text")).alias("words"))
+    rows = rows.select("rid", "doc_id", "text_key", alnum_words(F.col("text")).alias("words"))
     anchors = _anchors(rows, windows, lengths or [SHINGLE], F.broadcast if small else (lambda df: df), scratch)
 
     start = F.col("at") - F.col("o")
     fits = (start >= 0) & (start + F.size("window") <= F.size("words"))
     same = F.coalesce(fits & F.when(fits, F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("window")) == F.col("window")), F.lit(False))
     found = [F.when(same, x).alias(name) for x, name in ((start, "start"), (F.size("window"), "length"), (F.col("items"), "items"))]
-    out = ["rid", "doc_id", F.size("words").cast("long").alias("n_words"), *found]
+    out = ["rid", "doc_id", "text_key", F.size("words").cast("long").alias("n_words"), *found]
     if small:
-        near = _document_shingles(rows, lengths or [SHINGLE], "rid", "doc_id").join(F.broadcast(anchors), "h", "left")
+        near = _document_shingles(rows, lengths or [SHINGLE], "rid", "doc_id", "text_key").join(F.broadcast(anchors), "h", "left")
         return near.filter(same | F.coalesce(F.col("at") == 0, F.lit(True))).select(*out)
     near = _document_shingles(rows, lengths, "rid").select("rid", "at", "h").join(anchors.select("h", "o", "wid"), "h").select("rid", "at", "o", "wid")
     near = near.join(rows, "rid").join(anchors.select("wid", "window", "items"), "wid").filter(same)
-    none = rows.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast(windows.schema["items"].dataType).alias("items"))
+    none = rows.select("rid", "doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast(windows.schema["items"].dataType).alias("items"))
     return near.select(*out).union(none)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans (start, length) and items, for each row of docs.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans (start, length), items and text_key, for each row of docs.
 
     Null or wordless texts have no hits; null or wordless items have no windows; an item of a null id marks words but is
     not counted. Repeated rows are answered each; other columns are ignored; empty tables are allowed on both sides.
     """
     spans = F.sort_array(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "length"))))
-    rows = occurrences(docs, benchmark, window, broadcast_bytes).groupBy("rid", "doc_id").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.collect_set("items").alias("items"))
+    rows = occurrences(docs, benchmark, window, broadcast_bytes).groupBy("rid", "doc_id", "text_key").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.collect_set("items").alias("items"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
 
     def cover(acc: Column, x: Column) -> Column:
@@ -124,12 +124,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, broad
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         "spans",
         "items",
+        "text_key",
     )
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in 13-word windows of the benchmark."""
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items", "text_key")
 
 
 #: Every window of every document is looked up among the windows of the items.

@@ -74,13 +74,19 @@ def _common_counts(text: Column, lang: Column) -> Column:
     return let(words, counts)
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """Counts of each document's whole text: the base counts and the two histograms (class_counts, word_counts)."""
+def document_counts(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Counts of each document's whole text: the base counts and the two histograms (class_counts, word_counts).
+
+    With whole, column row holds the document's own columns.
+    """
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    kept_row = ["row"] if whole else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     only = lambda chars: F.length(F.regexp_replace("text", f"[^{chars}]+", "")).cast("long")
     lines = let(F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("text"), *row)
     rows = rows.select(
+        *kept_row,
         "doc_id",
         F.when(F.col("lang").isin(list(COMMON_WORDS)), F.col("lang")).otherwise("").alias("lang"),
         (F.length("text") - F.length(F.regexp_replace("text", "[^ \\t-\\r]+", ""))).cast("long").alias("word_chars"),
@@ -91,7 +97,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
     )
     named = F.array(*CLASSES)
     other = F.col("word_chars") - sum((F.col(c) for c in CLASSES), F.lit(0))
-    return rows.select("doc_id", "lang", "of_words.*", "word_chars", "n_symbols", "n_dup_lines", F.concat(named, F.array(other)).alias("class_counts"), F.col("word_counts").cast("array<long>").alias("word_counts"))
+    return rows.select(*kept_row, "doc_id", "lang", "of_words.*", "word_chars", "n_symbols", "n_dup_lines", F.concat(named, F.array(other)).alias("class_counts"), F.col("word_counts").cast("array<long>").alias("word_counts"))
 
 
 def references(counts: DataFrame) -> DataFrame:
@@ -114,17 +120,18 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return let(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), of)
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, the base counts, base_failed, both distances, and kept, for every row of docs (columns doc_id, text, lang).
 
     Null or blank texts have no words and fail the base rules. Documents of null or unlisted languages share one reference
     of character classes and are not judged by words. Repeated rows are judged each; other columns are ignored; an empty
-    table gives an empty result.
+    table gives an empty result. With whole, column row holds the document's own columns.
     """
     scratch = Scratch(docs.sparkSession, "rules")
-    counts = scratch.save(document_counts(docs), "counts")
+    counts = scratch.save(document_counts(docs, whole), "counts")
     refs = F.broadcast(references(counts))  # five rows at most
     rows = counts.join(refs, "lang").select(
+        *(["row"] if whole else []),
         "doc_id",
         "n_words",
         "word_chars",
