@@ -7,10 +7,11 @@ K neighbouring entries of one table, and a signature is the columnwise minimum o
 Bands of the signature propose candidates, and every link is confirmed on full shingle sets:
 
 1. texts with equal sets form one class, represented by its smallest doc_id;
-2. in each bucket of a band the members are compared to the bucket's smallest member, first once per member, then
-   wherever the two are not yet in one component;
-3. in buckets that still hold several components, every pair across components is compared, unless the sizes of the two
-   sets and of what each shares with any document of such buckets at all rule the link out.
+2. in each bucket of a band the members are compared to the bucket's best known member (whose buckets hold most), first
+   once per member, then wherever the two are not yet in one component;
+3. where the members of a leader's buckets still are in several components, those outside the largest one are compared to
+   all the others: as blocks of sets, in tasks of bounded size that return links only. Members that share too few of their
+   shingles with anything at all are left out first.
 
 So no bucket is expanded into all its pairs, none is capped, and the components are those of the full link relation. A
 pair of similarity 0.8 shares none of 32 bands of 4 coordinates with a chance of about 5e-8.
@@ -22,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ ship(__name__)
 
 #: Places of the universe that the permutations act on.
 UNIVERSE = 1 << 20
+#: Documents of either side in a block of the last comparison.
+BLOCK_X, BLOCK_Y = 256, 2048
 
 
 def _windows(coordinates: int, seed: int) -> np.ndarray:
@@ -113,8 +117,8 @@ def _measure(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return pairs.select("a", "b").join(ta, "a").join(tb, "b").mapInArrow(run, "a long, b long, common long, size_a long, size_b long")
 
 
-def _private(texts: DataFrame, width: int) -> DataFrame:
-    """rep, private: how many shingles of a document no other of these documents holds; documents without any are left out."""
+def _private(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """rep, private: how many shingles of a document no other of these documents holds (none: no row); and rep, hashes: the sets."""
 
     def run(batches):
         kinds = pa.schema([("rep", pa.int64()), ("hashes", pa.list_(pa.int64()))])
@@ -124,9 +128,38 @@ def _private(texts: DataFrame, width: int) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(_utf8(part.column("text")), width)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], schema=kinds)
 
-    held = texts.select("doc_id", "text").mapInArrow(run, "rep long, hashes array<long>").select("rep", F.explode("hashes").alias("h"))
-    private = held.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last").groupBy("rep").agg(F.count("*").alias("private"))
-    return private
+    sets = texts.select("doc_id", "text").mapInArrow(run, "rep long, hashes array<long>")
+    held = sets.select("rep", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+    return held.filter("rep = last").groupBy("rep").agg(F.count("*").alias("private")), sets
+
+
+def _links_in_block(percent: int):
+    """For a table with rows of two sides (x or not), the links between sides and across roots; one per x and root of y."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        names = ("rep", "root", "hashes")
+        sides = [rows.filter(pa.compute.equal(rows.column("x"), flag)) for flag in (True, False)]
+        (xr, xroot, xs), (yr, yroot, ys) = ([side.column(c).to_pylist() if c != "hashes" else [np.sort(np.array(h, np.int64)) for h in side.column(c).to_pylist()] for c in names] for side in sides)
+        found: dict[tuple[int, int], int] = {}
+        if xs and ys:
+            row = np.repeat(np.arange(len(xs)), [len(h) for h in xs])
+            flat = np.concatenate(xs)
+            order = np.argsort(flat, kind="stable")
+            flat, row = flat[order], row[order]
+            nx, roots = np.array([len(h) for h in xs]), np.array(xroot)
+            for rep, root, h in zip(yr, yroot, ys):
+                lo, n = np.searchsorted(flat, h, "left"), 0
+                spans = np.searchsorted(flat, h, "right") - lo
+                n = int(spans.sum())
+                if not n:
+                    continue
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(n)
+                common = np.bincount(row[at], minlength=len(xs))
+                for i in np.flatnonzero((common * 100 >= percent * (nx + len(h) - common)) & (roots != root)).tolist():
+                    found.setdefault((xr[i], root), rep)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array(list(found.values()), pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -153,38 +186,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     several = placed.join(same_id.select("doc_id", "a"), "doc_id").filter("rep > a").select("a", F.col("rep").alias("b"))
 
     keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("key", "leader")
-    members = scratch.save(keyed.join(buckets, "key"), "members")
-    candidates = members.filter("rep > leader")
-    wanted = candidates.select(F.col("rep").alias("doc_id")).union(candidates.select(F.col("leader").alias("doc_id"))).distinct()
+    buckets = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("size")).filter("first < last").select("key", "size")
+    members = scratch.save(keyed.join(buckets, "key"), "buckets")
+    known = members.groupBy("rep").agg(F.sum("size").alias("known"))
+    members = members.join(known, "rep")
+    leaders = members.groupBy("key").agg(F.max(F.struct("known", -F.col("rep"))).alias("l")).select("key", (-F.col("l.col2")).alias("leader"))
+    members = scratch.save(members.join(leaders, "key").select("rep", "n", "key", "known", "leader"), "members")
+    candidates = members.filter("rep <> leader").join(known.withColumnsRenamed({"rep": "leader", "known": "fame"}), "leader")
+    candidates = scratch.save(candidates.select(F.col("rep").alias("a"), F.col("leader").alias("b"), "fame").distinct(), "candidates")
+    wanted = candidates.select(F.col("a").alias("doc_id")).union(candidates.select(F.col("b").alias("doc_id"))).distinct()
     texts = scratch.save(docs.join(wanted, "doc_id", "left_semi"), "texts")
 
-    once = candidates.groupBy(F.col("rep").alias("a")).agg(F.min("leader").alias("b"))
+    once = candidates.groupBy("a").agg(F.max(F.struct("fame", -F.col("b"))).alias("l")).select("a", (-F.col("l.col2")).alias("b"))
     links = scratch.save(_measure(once, texts, width).filter(linked).select("a", "b").union(several), "links")
     labels = components(links, scratch)
     label = lambda df, c, out: df.join(labels.select(F.col("v").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
 
-    rest = label(label(candidates.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b").join(once, ["a", "b"], "left_anti")
+    rest = label(label(candidates.select("a", "b"), "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b").join(once, ["a", "b"], "left_anti")
     rest = scratch.save(_measure(rest, texts, width), "rest")
     if not rest.filter(linked).isEmpty():
         links = scratch.save(links.union(rest.filter(linked).select("a", "b")), "links")
         labels = components(links, scratch)
 
-    mixed = label(members, "rep", "root")
-    several_roots = mixed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    mixed = scratch.save(mixed.join(several_roots, "key"), "mixed")
+    crowd = candidates.select(F.col("b").alias("leader"), F.col("a").alias("rep")).union(candidates.select(F.col("b").alias("leader"), F.col("b").alias("rep"))).distinct()
+    crowd = label(crowd, "rep", "root")
+    several_roots = crowd.groupBy("leader").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("leader")
+    mixed = scratch.save(crowd.join(several_roots, "leader"), "mixed")
     if not mixed.isEmpty():
-        own = scratch.save(_private(texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width), "private")
-        sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("size"))
-        major = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most")).select("key", F.col("most.root").alias("major"))
+        private, sets = _private(texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
         # whatever two documents share is private to neither, so a document with many private shingles has no link at all
-        able = mixed.join(own, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("private", F.lit(0))).filter(F.col("shared") * 100 >= percent * F.col("n"))
-        able = scratch.save(able.join(major, "key").select("key", "rep", "n", "shared", "root", (F.col("root") == F.col("major")).alias("in_major")), "able")
-        x = able.filter("not in_major").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("root").alias("ra"))
-        y = able.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("root").alias("rb"), "in_major")
-        most = F.least("sa", "sb")
-        cross = x.join(y, "key").filter("ra <> rb and (in_major or a < b)").filter(most * 100 >= percent * (F.col("na") + F.col("nb") - most))
-        cross = scratch.save(_measure(cross.select("a", "b").distinct(), texts, width).filter(linked).select("a", "b"), "cross")
+        able = classes.select("rep", "n").join(private, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("private", F.lit(0))).filter(F.col("shared") * 100 >= percent * F.col("n")).select("rep")
+        mixed = scratch.save(mixed.join(able, "rep", "left_semi"), "able")
+        sizes = mixed.groupBy("leader", "root").agg(F.count("*").alias("size"))
+        groups = sizes.groupBy("leader").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("all"), F.count("*").alias("roots")).filter("roots > 1")
+        groups = groups.select("leader", F.col("most.root").alias("major"), F.ceil((F.col("all") - F.col("most.size")) / BLOCK_X).cast("int").alias("nx"), F.ceil(F.col("all") / BLOCK_Y).cast("int").alias("ny"))
+        placed_x = mixed.join(groups, "leader").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nx"))).withColumn("other", F.pmod(F.xxhash64("rep"), F.col("ny")))
+        x = placed_x.filter("root <> major").select("leader", F.col("mine").alias("bx"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny").cast("long") - 1)).alias("by"), "rep", "root", F.lit(True).alias("x"))
+        y = placed_x.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx").cast("long") - 1)).alias("bx"), F.col("other").alias("by"), "rep", "root", F.lit(False).alias("x"))
+        blocks = x.union(y).join(sets, "rep").select("leader", "bx", "by", "rep", "root", "hashes", "x")
+        cross = scratch.save(blocks.groupBy("leader", "bx", "by").applyInArrow(_links_in_block(percent), "a long, b long"), "cross")
         if not cross.isEmpty():
             labels = components(links.union(cross), scratch)
 
