@@ -1,20 +1,457 @@
-"""Registered queries over the driver's tables, each with DuckDB SQL of the same result."""
+"""Registered queries: the library's operators on the driver's tables, each with DuckDB SQL of the same result."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyloft.functions import hashing, identity, jagged, text, timeutil
+from keyloft.operators import chunking, graph, parts, predicates
+
+QUERIES = {}
+ORACLE = {}
+
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def q_subset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subsets of lineitem by (returnflag, linestatus) and their row counts."""
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _odd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose values hold NaN and infinities at known places."""
+    k = F.col("event_id") % 50
+    odd = F.when(k == 1, F.lit(float("nan"))).when(k == 2, F.lit(float("inf"))).when(k == 3, F.lit(float("-inf"))).otherwise(F.col("value"))
+    return _t(spark, sf_dir, "events").withColumn("value", odd)
+
+
+_ODD = "(SELECT * REPLACE (CASE event_id % 50 WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN '-inf'::DOUBLE ELSE value END AS value) FROM events)"
+
+
+# ---------------------------------------------------------------- subsets, identity and predicates
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS total_rows FROM lineitem GROUP BY 1, 2")
+def q_subset_registry(spark, sf_dir):
+    """Subsets of lineitem and their rows."""
     return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("total_rows"))
 
 
-QUERIES = {"q_subset_registry": q_subset_registry}
+@query(f"SELECT CASE WHEN isnan(value) THEN 1 WHEN value = 'inf'::DOUBLE THEN 2 WHEN value = '-inf'::DOUBLE THEN 3 ELSE 0 END AS k_s, count(*) AS n FROM {_ODD} GROUP BY 1")
+def q_identity_specials(spark, sf_dir):
+    return _odd_values(spark, sf_dir).groupBy(identity.special_code(F.col("value")).alias("k_s")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT count(DISTINCT q) AS n, min(q) AS lo, max(q) AS hi FROM (SELECT CASE WHEN isfinite(value) THEN round_even(value * 1000, 0)::BIGINT ELSE 0 END AS q FROM {_ODD})")
+def q_identity_quantize(spark, sf_dir):
+    return _odd_values(spark, sf_dir).select(identity.quantized(F.col("value"), 1000).alias("q")).agg(F.count_distinct("q").alias("n"), F.min("q").alias("lo"), F.max("q").alias("hi"))
+
+
+@query(f"SELECT event_id FROM {_ODD} WHERE isfinite(value) AND round_even(value * 10, 0) = 120")
+def q_identity_eq(spark, sf_dir):
+    df = _odd_values(spark, sf_dir).select("event_id", *identity.identity_columns({"value": "REAL"}, {"value": 10}))
+    return df.filter(predicates.identity_eq("value", 12.0, 10)).select("event_id")
+
+
+@query(f"SELECT event_id, value FROM {_ODD} WHERE value BETWEEN 12 - 0.05 AND 12 + 0.05")
+def q_approx_eq(spark, sf_dir):
+    return _odd_values(spark, sf_dir).filter(predicates.approx_eq(F.col("value"), 12.0, 0.05)).select("event_id", "value")
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey BETWEEN 3 AND 10")
+def q_find_int_range(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").filter(predicates.compile_predicates({"c_nationkey": "INTEGER"}, {"c_nationkey": (10, 3)})).select("c_custkey", "c_nationkey")
+
+
+@query(f"SELECT event_id, value FROM {_ODD} WHERE value BETWEEN 5.0 AND 20.0")
+def q_find_real_range(spark, sf_dir):
+    return _odd_values(spark, sf_dir).filter(predicates.compile_predicates({"value": "REAL"}, {"value": (20.0, 5.0)})).select("event_id", "value")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 100000")
+def q_find_text_bool(spark, sf_dir):
+    df = _t(spark, sf_dir, "orders").withColumn("large", F.col("o_totalprice") > 100000)
+    return df.filter(predicates.compile_predicates({"o_orderpriority": "TEXT", "large": "BOOLEAN"}, {"o_orderpriority": "1-URGENT", "large": True})).select("o_orderkey")
+
+
+@query(f"SELECT event_id FROM {_ODD} WHERE isnan(value)")
+def q_find_nan(spark, sf_dir):
+    return _odd_values(spark, sf_dir).filter(predicates.predicate("value", "REAL", float("nan"))).select("event_id")
+
+
+@query("""SELECT event_id, epoch_us(ts) AS us, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events
+WHERE epoch_us(ts) BETWEEN epoch_us(TIMESTAMP '2024-01-10') AND epoch_us(TIMESTAMP '2024-01-20 12:00:00')""")
+def q_time_window(spark, sf_dir):
+    us = timeutil.epoch_us(F.col("ts"))
+    df = _t(spark, sf_dir, "events").withColumn("us", us)
+    return df.filter(predicates.time_window("us", "2024-01-10", "2024-01-20T12:00:00Z")).select("event_id", "us", timeutil.iso(F.col("us")).alias("iso"))
+
+
+@query("SELECT count(*) AS n, count_if(regexp_full_match(event_type, '[A-Za-z0-9_]+'))::BIGINT AS safe FROM events")
+def q_schema_names(spark, sf_dir):
+    return _t(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.count_if(F.col("event_type").rlike("^[A-Za-z0-9_]+$")).alias("safe"))
+
+
+@query("""SELECT c_custkey, '{"c_mktsegment":"' || c_mktsegment || '","c_nationkey":' || c_nationkey || '}' AS display_key FROM customer""")
+def q_display_key(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", identity.display_key({"c_nationkey": "INTEGER", "c_mktsegment": "TEXT"}).alias("display_key"))
+
+
+@query("SELECT o_orderkey, o_orderdate, o_orderpriority, o_totalprice FROM orders")
+def q_sorted_projection(spark, sf_dir):
+    """Fields in name order, as stored rows have them."""
+    df = _t(spark, sf_dir, "orders")
+    return df.select(*sorted(["o_totalprice", "o_orderpriority", "o_orderkey", "o_orderdate"]))
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity, count(DISTINCT l_orderkey) AS orders
+FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_linestatus = 'F' GROUP BY 1, 2""")
+def q_rows_of_subsets(spark, sf_dir):
+    """Registry, predicate on the registry, then rows of the chosen subsets."""
+    li = _t(spark, sf_dir, "lineitem")
+    chosen = q_subset_registry(spark, sf_dir).filter(predicates.compile_predicates({"l_linestatus": "TEXT"}, {"l_linestatus": "F"})).filter(F.col("l_returnflag").isin("A", "R"))
+    rows = li.join(chosen, ["l_returnflag", "l_linestatus"], "left_semi")
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.count_distinct("l_orderkey").alias("orders"))
+
+
+# ---------------------------------------------------------------- joins of the catalog
+
+
+@query("""SELECT c_custkey, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey), '') AS parts, count(o_orderkey) AS n
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def q_subset_parts_left(spark, sf_dir):
+    """Customers with their orders; those without any are kept."""
+    subsets = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subset_uuid"))
+    owned = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subset_uuid"), F.col("o_orderdate").alias("created_at_epoch"), F.col("o_orderkey").alias("part_uuid"))
+    return _parts_of(subsets, owned).select(F.col("subset_uuid").alias("c_custkey"), F.array_join("parts", ",").alias("parts"), F.size("parts").cast("long").alias("n"))
+
+
+def _parts_of(subsets: DataFrame, owned: DataFrame) -> DataFrame:
+    """subset_parts needs text ids that sort like the numbers; the numbers are padded and unpadded again."""
+    padded = owned.withColumn("part_uuid", F.lpad(F.col("part_uuid").cast("string"), 19, "0"))
+    return parts.subset_parts(subsets, padded).withColumn("parts", F.transform("parts", lambda x: x.cast("long").cast("string")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def q_parts_semi(spark, sf_dir):
+    chosen = _t(spark, sf_dir, "customer").filter(predicates.predicate("c_mktsegment", "TEXT", "BUILDING"))
+    return _t(spark, sf_dir, "orders").join(chosen.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query("""SELECT CASE WHEN c_custkey % 10 < 5 THEN 'insert' ELSE 'skip' END AS action, count(*) AS n FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1""")
+def q_fsck_orphans(spark, sf_dir):
+    """Customers as files, orders as parts, half the customers as known subsets."""
+    files = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_relpath"), F.col("c_custkey").alias("subset_uuid"))
+    held = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_relpath"))
+    known = files.filter(F.col("subset_uuid") % 10 < 5).select("subset_uuid")
+    return parts.orphans(files, held, known).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("SELECT bid, producer_id, min(event_id) AS created_at FROM (SELECT event_id // 1000 AS bid, user_id % 3 AS producer_id, event_id FROM events) WHERE NOT (bid % 2 = 0 AND producer_id < 2) GROUP BY 1, 2")
+def q_merge_unmerged(spark, sf_dir):
+    """Batches of a source that a target has not merged."""
+    batches = _t(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).alias("bid"), (F.col("user_id") % 3).alias("producer_id"), F.col("event_id")).groupBy("bid", "producer_id").agg(F.min("event_id").alias("created_at"))
+    log = batches.filter("bid % 2 = 0 and producer_id < 2").select("producer_id", "bid")
+    return parts.unmerged(batches, log)
+
+
+@query("SELECT doc_id FROM documents d WHERE source <> 'src0' AND NOT EXISTS (SELECT 1 FROM documents h WHERE h.source = 'src0' AND h.lang = d.lang AND md5(h.text) = md5(d.text))")
+def q_merge_dedupe(spark, sf_dir):
+    """Parts of a source whose (subset, content) the target lacks."""
+    docs = _t(spark, sf_dir, "documents").withColumn("content_hash", F.md5("text"))
+    return parts.not_present(docs.filter("source <> 'src0'"), docs.filter("source = 'src0'"), ["lang", "content_hash"]).select("doc_id")
+
+
+@query("SELECT doc_id, md5(text) AS h FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")
+def q_dedupe_parts(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
+    return parts.first_wins(docs, ["h"], ["doc_id"])
+
+
+# ---------------------------------------------------------------- parts: chunks, bounds, totals, statistics
+
+
+@query("""SELECT user_id, part, count(*) AS n_rows, min(event_id) AS first_id FROM
+(SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 25 AS part FROM events) GROUP BY 1, 2""")
+def q_part_chunks(spark, sf_dir):
+    df = chunking.with_part_ordinal(_t(spark, sf_dir, "events"), ["user_id"], ["event_id"], 25)
+    return df.groupBy("user_id", F.col("part_ordinal").alias("part")).agg(F.count("*").alias("n_rows"), F.min("event_id").alias("first_id"))
+
+
+@query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS row_in_subset FROM events""")
+def q_ordered_numbers(spark, sf_dir):
+    """Row numbers without a window over whole groups."""
+    return chunking.ordered_numbers(_t(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], ["event_id"])
+
+
+@query("""SELECT user_id, n_rows, (sum(n_rows) OVER w - n_rows)::BIGINT AS row_start, (sum(n_rows) OVER w)::BIGINT AS row_end FROM
+(SELECT user_id, count(*) AS n_rows FROM events GROUP BY 1) WINDOW w AS (ORDER BY user_id)""")
+def q_bounds(spark, sf_dir):
+    manifest = _t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("subset_uuid")).agg(F.count("*").alias("n_rows")).withColumns({"created_at_epoch": F.lit(0), "part_uuid": F.lit("")})
+    return chunking.bounds(manifest).select(F.col("subset_uuid").alias("user_id"), "n_rows", "row_start", "row_end")
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as staged payloads of their lines, by customer."""
+    n = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_rows"))
+    return _t(spark, sf_dir, "orders").join(n, "o_orderkey", "left").select(F.col("o_custkey").cast("string").alias("subset_uuid"), F.col("o_orderkey").alias("id"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+_PAYLOADS = "(SELECT o_custkey::VARCHAR AS subset_uuid, o_orderkey AS id, count(l_orderkey) AS n_rows FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+
+
+@query(f"""SELECT subset_uuid, id, n_rows FROM (SELECT *, sum(n_rows) OVER w AS s, row_number() OVER w AS k FROM {_PAYLOADS} WHERE n_rows > 0
+WINDOW w AS (PARTITION BY subset_uuid ORDER BY id ROWS UNBOUNDED PRECEDING)) WHERE s <= 20 OR k = 1""")
+def q_prefix_claim(spark, sf_dir):
+    return chunking.prefix_claim(_payloads(spark, sf_dir), 20)
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY subset_uuid ORDER BY id) AS k FROM {_PAYLOADS} WHERE n_rows > 0),
+f AS (SELECT subset_uuid, id, n_rows, k, 0::BIGINT AS claim, n_rows AS total FROM p WHERE k = 1
+UNION ALL SELECT p.subset_uuid, p.id, p.n_rows, p.k, CASE WHEN f.total + p.n_rows > 12 THEN f.claim + 1 ELSE f.claim END, CASE WHEN f.total + p.n_rows > 12 THEN p.n_rows ELSE f.total + p.n_rows END
+FROM f JOIN p ON p.subset_uuid = f.subset_uuid AND p.k = f.k + 1) SELECT subset_uuid, id, n_rows, claim FROM f""")
+def q_prefix_pack(spark, sf_dir):
+    return chunking.pack_claims(_payloads(spark, sf_dir), 12)
+
+
+@query("SELECT user_id AS subset_uuid, min(event_id) AS first_id FROM events GROUP BY 1 ORDER BY 2, 1 LIMIT 10")
+def q_hot_subsets(spark, sf_dir):
+    staged = _t(spark, sf_dir, "events").select(F.col("user_id").alias("subset_uuid"), F.col("event_id").alias("id"), F.lit(None).cast("string").alias("claimed_by"))
+    return chunking.hot_subsets(staged, 10)
+
+
+@query(f"SELECT subset_uuid, sum(n_rows)::BIGINT AS rows, count(*) AS payloads FROM {_PAYLOADS} GROUP BY 1")
+def q_backlog(spark, sf_dir):
+    return chunking.backlog(_payloads(spark, sf_dir))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 3 = 0 AND epoch_us(ts) <= epoch_us(TIMESTAMP '2024-01-15')")
+def q_stale_claims(spark, sf_dir):
+    staged = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, "w").alias("claimed_by"), timeutil.epoch_us(F.col("ts")).alias("claimed_at"))
+    return chunking.stale(staged, timeutil.to_epoch_us("2024-01-15")).select("event_id")
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as parts of customers, every seventh marked."""
+    return _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subset_uuid"), F.col("o_orderkey").alias("part_uuid"), (F.col("o_orderkey") % 100).alias("n_rows"), (F.col("o_orderkey") % 7 == 0).alias("marked_for_deletion"))
+
+
+@query("SELECT c_custkey AS subset_uuid, coalesce(sum(o_orderkey % 100) FILTER (WHERE o_orderkey % 7 <> 0), 0)::BIGINT AS live_rows FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def q_gc_totals(spark, sf_dir):
+    subsets = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subset_uuid"))
+    return parts.live_rows(subsets, _manifest(spark, sf_dir))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, count_if(o_totalprice < 50000)::BIGINT AS marked FROM orders GROUP BY 1")
+def q_soft_delete(spark, sf_dir):
+    """Marks by predicate and counts what changed per priority."""
+    hit = predicates.compile_predicates({"o_totalprice": "REAL"}, {"o_totalprice": (0.0, 49999.999999)})
+    df = _t(spark, sf_dir, "orders").withColumn("marked_for_deletion", hit)
+    return df.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if("marked_for_deletion").alias("marked"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the jagged list of their lines' quantities, in a defined order."""
+    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_quantity")).alias("seq")).withColumn("seq_len", jagged.length(F.col("seq")))
+
+
+_LINES = "(SELECT l_orderkey, list(l_quantity ORDER BY l_quantity) AS seq, count(*)::INTEGER AS seq_len FROM lineitem GROUP BY 1)"
+
+
+@query(f"SELECT l_orderkey, seq_len FROM {_LINES} WHERE seq_len >= 5")
+def q_jagged_len(spark, sf_dir):
+    return _lines(spark, sf_dir).filter(jagged.at_least("seq", 5)).select("l_orderkey", "seq_len")
+
+
+@query(f"SELECT o_orderkey, coalesce(seq_len, 0) > 0 AS has FROM orders LEFT JOIN {_LINES} ON l_orderkey = o_orderkey")
+def q_jagged_exists(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey").join(_lines(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left").fillna(0, ["seq_len"])
+    return orders.select("o_orderkey", jagged.has_any("seq").alias("has"))
+
+
+@query(f"SELECT l_orderkey, len(list_resize(seq, 20, 0.0))::BIGINT AS size, list_sum(list_resize(seq, 20, 0.0)) AS total, list_resize(seq, 20, 0.0)[20] AS last_value FROM {_LINES}")
+def q_jagged_pad(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    padded = _lines(spark, sf_dir).withColumn("p", jagged.pad(F.col("seq"), 20, T.DoubleType()))
+    return padded.select("l_orderkey", F.size("p").cast("long").alias("size"), F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("total"), F.get("p", F.lit(19)).alias("last_value"))
+
+
+@query(f"SELECT l_orderkey, seq_len, list_sum(seq) AS total FROM {_LINES}")
+def q_jagged_unpad(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    back = _lines(spark, sf_dir).withColumn("u", jagged.unpad(jagged.pad(F.col("seq"), 20, T.DoubleType()), F.col("seq_len")))
+    return back.select("l_orderkey", F.size("u").alias("seq_len"), F.aggregate("u", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+_STATS = """count(*) AS n_rows, min(seq_len) AS min_len, max(seq_len) AS max_len, avg(seq_len) AS avg_len, count_if(seq_len = 8)::BIGINT AS full_rows, count(DISTINCT seq_len) AS distinct_lens,
+CASE WHEN count(DISTINCT seq_len) = 1 THEN 'constant' WHEN count(DISTINCT seq_len) <= 256 AND count(DISTINCT seq_len) <= count(*) * 0.1 THEN 'codebook' ELSE 'plain' END AS len_encoding"""
+
+
+@query(f"SELECT l_orderkey // 1000 AS part, {_STATS} FROM {_LINES} GROUP BY 1")
+def q_part_stats(spark, sf_dir):
+    df = _lines(spark, sf_dir).withColumn("part", F.floor(F.col("l_orderkey") / 1000))
+    return parts.part_stats(df, ["part"], "seq_len", 8)
+
+
+@query("SELECT label, count(*) AS n_rows, min(len(embedding))::INTEGER AS min_len, max(len(embedding))::INTEGER AS max_len, CASE WHEN count(DISTINCT len(embedding)) = 1 THEN 'constant' ELSE 'plain' END AS len_encoding FROM embeddings GROUP BY 1")
+def q_part_stats_fixed(spark, sf_dir):
+    df = _t(spark, sf_dir, "embeddings").withColumn("n", jagged.length(F.col("embedding")))
+    return parts.part_stats(df, ["label"], "n", 64).select("label", "n_rows", "min_len", "max_len", "len_encoding")
+
+
+@query(f"SELECT l_orderkey // 100 AS part, CASE WHEN max(seq_len) < 7 THEN 'none' WHEN min(seq_len) >= 7 THEN 'all' ELSE 'some' END AS match FROM {_LINES} GROUP BY 1")
+def q_stats_prune(spark, sf_dir):
+    df = _lines(spark, sf_dir).withColumn("part", F.floor(F.col("l_orderkey") / 100))
+    stats = parts.part_stats(df, ["part"], "seq_len", 8)
+    return stats.select("part", parts.prune_class(F.col("min_len"), F.col("max_len"), 7).alias("match"))
+
+
+@query(f"SELECT l_orderkey // 1000 AS part, count_if(seq_len < 8)::BIGINT AS padded_rows FROM {_LINES} GROUP BY 1")
+def q_padded_rows(spark, sf_dir):
+    return parts.padded_rows(_lines(spark, sf_dir).withColumn("part", F.floor(F.col("l_orderkey") / 1000)), ["part"], "seq_len", 8)
+
+
+@query("SELECT p_partkey, 'subsets/' || p_brand || '/parts/v1/' || sha256(p_brand || p_partkey)[1:2] || '/' || sha256(p_brand || p_partkey)[3:4] || '/' || p_partkey || '.parquet' AS relpath FROM part")
+def q_relpath(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", text.relpath(F.col("p_brand"), F.col("p_partkey").cast("string")).alias("relpath"))
+
+
+@query("SELECT p_partkey, p_name[1:4] || '…' AS redacted, CASE WHEN length(p_name) <= 12 THEN p_name ELSE p_name[1:11] || '…' END AS short, p_brand || '|' || p_type || '|' || p_size AS aad FROM part")
+def q_text_functions(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", text.redacted(F.col("p_name")).alias("redacted"), text.ellipsized(F.col("p_name"), 12).alias("short"), text.aad(F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string")).alias("aad"))
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 64")
+def q_peek(spark, sf_dir):
+    return chunking.keyset_page(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", None, 64)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 50")
+def q_page(spark, sf_dir):
+    return chunking.keyset_page(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500, 50)
+
+
+@query("SELECT page, count(*) AS n, min(o_orderkey) AS first_key FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 200 AS page FROM orders WHERE o_orderkey < 5000) GROUP BY 1")
+def q_fixed_pages(spark, sf_dir):
+    return chunking.pages(_t(spark, sf_dir, "orders").filter("o_orderkey < 5000"), ["o_orderkey"]).groupBy("page").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
+def q_tail(spark, sf_dir):
+    return chunking.tail(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 20)
+
+
+# ---------------------------------------------------------------- chains, hashes
+
+
+@query("""SELECT conv_id, list_reduce(list_prepend('salt', list(role || ':' || text ORDER BY turn)), lambda acc, x: sha256(acc || x)) AS entry FROM conversations GROUP BY 1""")
+def q_hash_chain(spark, sf_dir):
+    """Chain over the turns of each conversation."""
+    entries = F.sort_array(F.collect_list(F.struct("turn", F.concat_ws(":", "role", "text").alias("e"))))
+    rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(entries.alias("es"))
+    return rows.select("conv_id", hashing.chain(F.transform("es", lambda x: x["e"]), "salt").alias("entry"))
+
+
+@query("SELECT conv_id, turn, md5(text) AS entry_hash, coalesce(lag(md5(text)) OVER (PARTITION BY conv_id ORDER BY turn), '') AS prev_hash FROM conversations")
+def q_chain_lag(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return _t(spark, sf_dir, "conversations").withColumn("entry_hash", F.md5("text")).select("conv_id", "turn", "entry_hash", F.coalesce(F.lag("entry_hash").over(w), F.lit("")).alias("prev_hash"))
+
+
+@query("""SELECT conv_id, turn FROM (SELECT conv_id, turn, CASE WHEN turn = 3 THEN 'x' ELSE coalesce(lag(md5(text)) OVER w, '') END AS prev_hash, coalesce(lag(md5(text)) OVER w, '') AS want
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE prev_hash <> want""")
+def q_chain_breaks(spark, sf_dir):
+    """Links that were tampered with."""
+    chained = q_chain_lag(spark, sf_dir).withColumn("prev_hash", F.when(F.col("turn") == 3, "x").otherwise(F.col("prev_hash")))
+    return parts.chain_breaks(chained, ["turn"], ["conv_id"]).select("conv_id", "turn")
+
+
+@query("SELECT o_orderkey, sha256(o_custkey || '|' || o_orderkey || '|' || o_orderpriority || '|' || o_orderstatus) AS fp FROM orders")
+def q_row_fingerprint(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", hashing.row_fingerprint(["o_orderstatus", "o_custkey", "o_orderkey", "o_orderpriority"]).alias("fp"))
+
+
+@query()
+def q_subset_uuid(spark, sf_dir):
+    """Ids of customer subsets; BLAKE2b has no SQL form."""
+    keys = {"c_mktsegment": "TEXT", "c_nationkey": "INTEGER"}
+    return identity.with_subset_uuid(_t(spark, sf_dir, "customer"), keys, {}).select("c_custkey", "subset_uuid")
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def q_sealed_round_trip(spark, sf_dir):
+    """Encrypts with bound data and opens again."""
+    key, iv = F.lit(b"0123456789abcdef"), F.lit(b"abcdefghijkl")
+    bound = text.aad(F.col("p_brand"), F.col("p_type"))
+    sealed = text.sealed(F.col("p_name").cast("binary"), key, iv, bound)
+    return _t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", sealed.alias("s")).select("p_partkey", text.opened(F.col("s"), key, bound).cast("string").alias("p_name"))
+
+
+# ---------------------------------------------------------------- graphs and progress
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders call parts."""
+    return _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
+
+
+_EDGES = "(SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem)"
+
+
+@query(f"SELECT dst, string_agg(src, ',' ORDER BY src) AS srcs FROM (SELECT DISTINCT src, dst FROM {_EDGES}) GROUP BY 1")
+def q_in_edges(spark, sf_dir):
+    return graph.in_edges(_edges(spark, sf_dir)).select("dst", F.array_join("srcs", ",").alias("srcs"))
+
+
+@query(f"""WITH e AS {_EDGES}, s AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey < 20),
+k AS (SELECT DISTINCT src AS id FROM e UNION SELECT dst FROM e WHERE length(dst) % 2 = 0)
+SELECT DISTINCT id FROM (SELECT id FROM s UNION SELECT dst FROM e JOIN s ON src = id UNION SELECT src FROM e JOIN s ON dst = id) WHERE id IN (SELECT id FROM k)""")
+def q_neighborhood(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    seeds = _t(spark, sf_dir, "orders").filter("o_orderkey < 20").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
+    known = e.select(F.col("src").alias("id")).union(e.filter(F.length("dst") % 2 == 0).select(F.col("dst").alias("id"))).distinct()
+    return graph.neighborhood(seeds, e, known)
+
+
+@query(f"""WITH e AS (SELECT DISTINCT src, dst FROM {_EDGES}), d AS (SELECT src, 'new' AS dst FROM (SELECT DISTINCT src FROM e) WHERE length(src) = 3)
+SELECT src, dst FROM e WHERE src NOT IN (SELECT src FROM d) UNION ALL SELECT src, dst FROM d""")
+def q_merge_edges(spark, sf_dir):
+    e = _edges(spark, sf_dir).distinct()
+    delta = e.select("src").distinct().filter(F.length("src") == 3).withColumn("dst", F.lit("new"))
+    return graph.merge_edges(e, delta)
+
+
+@query("""WITH h AS (SELECT * FROM (VALUES ('O'), ('F'), ('P'), ('X')) t(status)), c AS (SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1)
+SELECT status, coalesce(n, 0) AS n, round(100 * coalesce(n, 0) / sum(coalesce(n, 0)) OVER (), 1)::DOUBLE AS pct FROM h LEFT JOIN c USING (status)""")
+def q_status_hist(spark, sf_dir):
+    return graph.status_histogram(_t(spark, sf_dir, "orders"), "o_orderstatus", ["O", "F", "P", "X"]).select("status", "n", "pct")
+
+
+@query("SELECT c_nationkey AS k, count(DISTINCT c_mktsegment) AS variants FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1")
+def q_conflicting_keys(spark, sf_dir):
+    return graph.conflicting_keys(_t(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "k"), "k", ["c_mktsegment"])
+
+
+@query("SELECT split_part(url, '/', 3) AS top, count(*) AS n FROM pages GROUP BY 1")
+def q_by_top_directory(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return graph.by_top_directory(pages).select("top", "n")
+
 
-ORACLE = {"q_subset_registry": "SELECT l_returnflag, l_linestatus, count(*) AS total_rows FROM lineitem GROUP BY 1, 2"}
+@query("SELECT k, max(ts) AS stamp FROM (SELECT user_id AS k, ts FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, ts FROM events WHERE event_id % 3 = 0) GROUP BY 1")
+def q_upsert_stamps(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("path"), F.col("ts").alias("stamp"))
+    return graph.upsert_stamps(ev.filter("event_id % 2 = 0"), ev.filter("event_id % 3 = 0")).withColumnRenamed("path", "k")
