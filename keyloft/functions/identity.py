@@ -8,6 +8,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_SCALE = 1e3
 #: Fixed codes: a normal number, NaN, +Inf, -Inf.
@@ -58,7 +59,7 @@ def identity_text(keys: dict[str, str]) -> Column:
     return F.concat_ws(",", *parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def uuid_of(text: pd.Series) -> pd.Series:
     """UUID of the 16-byte BLAKE2b digest of each text."""
     return text.map(lambda x: None if x is None else str(uuid.UUID(bytes=hashlib.blake2b(x.encode(), digest_size=16).digest())))

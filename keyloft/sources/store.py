@@ -38,7 +38,7 @@ def _uuid(text: str) -> str:
     return str(uuid.UUID(bytes=hashlib.blake2b(text.encode(), digest_size=16).digest()))
 
 
-@F.udf("string", useArrow=True)
+@F.udf(T.StringType(), useArrow=True)
 def part_id(subset: str, content: str) -> str:
     return _uuid(f"{subset},{content}")
 
@@ -139,7 +139,7 @@ class Store:
     def _seal(self, df: DataFrame, schema: dict, stored: dict, order: list[str], staging: str) -> DataFrame:
         """Numbers and hashes the rows; the result has one row per part: keys, ids, hash, rows, stats."""
         keys = schema["key_schema"]
-        fields = structured(df, list(stored), stored)
+        fields = structured(df, [c for c in df.columns if c not in keys], stored)
         nulls = [F.when(F.col(k).isNull(), F.raise_error(F.lit(f"key {k} is null")).cast(df.schema[k].dataType)).otherwise(F.col(k)).cast("double" if keys[k] == "REAL" else df.schema[k].dataType).alias(k) for k in keys]
         rows = with_subset_uuid(df.select(*nulls, *fields), keys, schema["quantization"])
         for name in schema["jagged"]:
@@ -388,17 +388,18 @@ class Store:
         old = self._save(short.select("part_uuid"), f"{staging}-old/_old")
         ordered = rows.select(*keys, *sorted(stored), "created_at_epoch", "part_uuid", "row_in_part")
         sealed = self._seal_existing(ordered, head.schema, stored, staging)
+        fresh = self._save(sealed.select("part_uuid"), f"{staging}-old/_new")
         self._commit_parts(alias, head.schema, sealed, bid, staging)
 
         def build(now_head: Snapshot):
             held = self.catalog.table(alias, now_head, "parts")
-            fresh = sealed.select("part_uuid")
             drop = old.join(fresh, "part_uuid", "left_anti").withColumn("_old", F.lit(True))
             marked = held.join(drop, "part_uuid", "left").withColumn("marked_for_deletion", F.col("marked_for_deletion") | F.col("_old").isNotNull()).select(held.columns)
             return now_head.schema, {"parts": marked}, {"op": "compact"}
 
-        counts = {"before": old.count(), "after": sealed.count()}
+        counts = {"before": old.count(), "after": fresh.count()}
         self.catalog.commit(alias, build)
+        self.files.delete(f"{staging}-old")
         self.delete(alias)
         return counts
 
