@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,3 +62,13 @@ def at_least(name: str, k: int) -> Column:
 def width(longest: Column) -> Column:
     """Smallest unsigned type that holds a length."""
     return F.when(longest <= 65535, "uint16").otherwise("uint32")
+
+
+def rows_of_arrays(df: DataFrame, arrays: list[str]) -> DataFrame:
+    """Rows of columns that come as arrays: element i of every array makes row i; unequal lengths fail the job."""
+    sizes = [F.size(c) for c in arrays]
+    even = F.lit(True)
+    for s in sizes[1:]:
+        even &= s == sizes[0]
+    zipped = F.when(even, F.arrays_zip(*arrays)).otherwise(F.raise_error(F.lit("arrays of unequal length")))
+    return df.select(*[c for c in df.columns if c not in arrays], F.posexplode(zipped).alias("row", "_z")).select(*[c for c in df.columns if c not in arrays], "row", *[F.col("_z")[c].alias(c) for c in arrays])

@@ -455,3 +455,82 @@ def q_by_top_directory(spark, sf_dir):
 def q_upsert_stamps(spark, sf_dir):
     ev = _t(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("path"), F.col("ts").alias("stamp"))
     return graph.upsert_stamps(ev.filter("event_id % 2 = 0"), ev.filter("event_id % 3 = 0")).withColumnRenamed("path", "k")
+
+
+@query("SELECT l_orderkey, row::INTEGER AS row, q, p FROM (SELECT l_orderkey, unnest(range(len(qs))) AS row, unnest(qs) AS q, unnest(ps) AS p FROM (SELECT l_orderkey, list(l_quantity ORDER BY l_quantity) AS qs, list(l_extendedprice ORDER BY l_extendedprice) AS ps FROM lineitem GROUP BY 1))")
+def q_rows_of_arrays(spark, sf_dir):
+    """Columnar payloads as rows."""
+    packed = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_quantity")).alias("q"), F.sort_array(F.collect_list("l_extendedprice")).alias("p"))
+    return jagged.rows_of_arrays(packed, ["q", "p"])
+
+
+@query(f"SELECT l_orderkey // 1000 AS part, max(seq_len) AS longest, CASE WHEN max(seq_len) <= 65535 THEN 'uint16' ELSE 'uint32' END AS width FROM {_LINES} GROUP BY 1")
+def q_length_width(spark, sf_dir):
+    longest = _lines(spark, sf_dir).groupBy(F.floor(F.col("l_orderkey") / 1000).alias("part")).agg(F.max("seq_len").alias("longest"))
+    return longest.withColumn("width", jagged.width(F.col("longest")))
+
+
+@query("""SELECT o_custkey, count(*) AS n_rows, min(n)::INTEGER AS min_0, max(n)::INTEGER AS max_0, avg(n) AS avg_0 FROM (SELECT o_custkey, o_orderkey, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY 1""")
+def q_shape_stats(spark, sf_dir):
+    """Statistics of a first dimension; nested arrays of lines by order."""
+    joined = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    nested = joined.groupBy("o_custkey", "o_orderkey").agg(F.collect_list(F.array("l_quantity")).alias("a")).withColumn("shape", jagged.shape(F.col("a"), 2))
+    return parts.shape_stats(nested, ["o_custkey"], "shape", 1)
+
+
+@query("SELECT url FROM pages WHERE NOT (url LIKE '%.html' OR url LIKE 'http://%')")
+def q_glob_ignore(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").filter(predicates.not_ignored(F.col("url"), ["*.html", "http://*"])).select("url")
+
+
+@query("""WITH b AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0), d AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 3 = 0 AND c_nationkey < 5)
+SELECT 'c' || c_custkey AS fqid, 'n' || c_nationkey AS source_path FROM b WHERE c_nationkey NOT IN (SELECT c_nationkey FROM d) UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM d""")
+def q_merge_nodes(spark, sf_dir):
+    """Delta nodes replace all nodes of their sources."""
+    n = _t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("fqid"), F.concat(F.lit("n"), "c_nationkey").alias("source_path"), "c_custkey", "c_nationkey")
+    pick = lambda df: df.select("fqid", "source_path")
+    return graph.merge_nodes(pick(n.filter("c_custkey % 3 <> 0")), pick(n.filter("c_custkey % 3 = 0 and c_nationkey < 5")))
+
+
+@query("""WITH e AS (SELECT 'u' || user_id AS src, 'u' || (event_id % 100) AS dst FROM events), k AS (SELECT 'u' || c_custkey AS f FROM customer WHERE c_custkey < 50)
+SELECT src, dst, 'unknown source' AS reason FROM e WHERE src NOT IN (SELECT f FROM k) UNION ALL SELECT src, dst, 'unknown target' FROM e WHERE dst NOT IN (SELECT f FROM k) UNION ALL SELECT src, dst, 'calls itself' FROM e WHERE src = dst""")
+def q_bad_calls(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("src"), F.concat(F.lit("u"), F.col("event_id") % 100).alias("dst"))
+    n = _t(spark, sf_dir, "customer").filter("c_custkey < 50").select(F.concat(F.lit("u"), "c_custkey").alias("fqid"))
+    return graph.bad_calls(e, n)
+
+
+@query("SELECT conv_id AS path, last(text ORDER BY turn) AS note, max(turn) AS updated_at FROM conversations GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 20")
+def q_latest_notes(spark, sf_dir):
+    notes = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    modules = _t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("path")).agg(notes.alias("notes"), F.max("turn").alias("updated_at"))
+    return graph.latest_notes(modules, 20)
+
+
+@query("""SELECT o_orderkey AS path, CASE WHEN o_orderkey % 2 = 0 AND (CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END) <= 2 THEN 'F' ELSE o_orderstatus END AS status FROM orders""")
+def q_advance_status(spark, sf_dir):
+    """Every second order is set to F, which never takes a later status back."""
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("status"))
+    return graph.advance_status(rows, rows.filter("path % 2 = 0").withColumn("status", F.lit("F")), ["O", "F", "P"])
+
+
+@query("SELECT user_id, event_type FROM events WHERE event_id % 2 = 0 INTERSECT SELECT user_id, event_type FROM events WHERE event_id % 3 = 0")
+def q_set_intersect(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    return ev.filter("event_id % 2 = 0").select("user_id", "event_type").intersect(ev.filter("event_id % 3 = 0").select("user_id", "event_type"))
+
+
+@query("SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer")
+def q_set_touched(spark, sf_dir):
+    """Touched or marked subsets, once each."""
+    return _t(spark, sf_dir, "orders").select("o_custkey").union(_t(spark, sf_dir, "customer").select("c_custkey")).distinct()
+
+
+@query("SELECT user_id AS subset_uuid, count(*) AS n FROM events GROUP BY 1")
+def q_affinity_routing(spark, sf_dir):
+    """Rows of a subset go to one writer: no subset is seen by two."""
+    from keyloft.streaming.ingest import route
+
+    routed = _t(spark, sf_dir, "events").select(F.col("user_id").alias("subset_uuid")).withColumn("w", route())
+    once = routed.groupBy("subset_uuid").agg(F.count("*").alias("n"), F.count_distinct("w").alias("writers"))
+    return once.filter("writers = 1").drop("writers")

@@ -214,7 +214,7 @@ class Store:
     def _batch_tables(self, alias: str, head: Snapshot, schema: dict, producer: str, bid: str, parts: list[tuple[str, str]], now: int) -> dict[str, DataFrame]:
         """Change-feed tables with one more batch, linked to the last entry of the chain."""
         batches, batch_parts = self.catalog.table(alias, head, "batches"), self.catalog.table(alias, head, "batch_parts")
-        prev = head.note.get("chain_head") or self._chain_head(batches)
+        prev = self._chain_head(batches)
         entry = chain_step(prev, bid, parts, now, self.salt)
         row = self.spark.createDataFrame([(bid, producer, now, fingerprint(schema), prev, entry)], batches.schema)
         links = self.spark.createDataFrame([(bid, p, h) for p, h in parts], batch_parts.schema)
@@ -370,6 +370,23 @@ class Store:
             self.catalog.commit(alias, build)
         return report
 
+    def register_existing(self, alias: str, uri: str) -> dict[str, int]:
+        """Takes up parts that another store sealed, by a copy of their files; content that is there already is left out.
+
+        Their subsets have to be known here. Registering twice changes nothing.
+        """
+        head, folder = self.catalog.head(alias), self.catalog.folder(alias)
+        schema = self.row_schema(head)
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(uri)
+        held = self.catalog.table(alias, head, "parts").select("part_uuid")
+        fresh = P.not_present(rows, held, ["part_uuid"])
+        target = f"{folder}/data/registered-{uuid.uuid4().hex}"
+        fresh.withColumn("p", F.col("part_uuid")).repartition("part_uuid").sortWithinPartitions("part_uuid", "row_in_part").write.partitionBy("p").parquet(self.files.uri(f"{target}/p"))
+        report = self.fsck(alias)
+        if not report["inserted"]:
+            self.files.delete(target)
+        return {k: report[k] for k in ("inserted", "skipped", "conflicts")}
+
     def compact(self, alias: str) -> dict[str, int]:
         """Joins short live parts of a subset into full ones, as streams and small batches leave them."""
         head = self.catalog.head(alias)
