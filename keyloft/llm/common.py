@@ -10,7 +10,6 @@ import tempfile
 import types
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +19,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def ship(module: str) -> None:
-    """Send a module's functions to executors by value, so that executors need not have this package installed."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
-
-
-ship(__name__)
-
-
 def worker_store() -> dict:
     """A dictionary that lives as long as the Python worker, whichever task runs in it."""
     held = sys.modules.get("_keyloft_worker_store")
@@ -41,6 +32,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Setting for the rows that go to Python at once. Texts are long, so its default is lowered; a user's own value is kept.
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def tidy(batches):
+    """The same batches; at their end the worker gives unused memory back to the system."""
+    yield from batches
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) that tidies up after each task."""
+    return df.mapInArrow(lambda batches: tidy(run(batches)), schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -70,8 +86,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/keyloft/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
         self.n = 0
+        if spark.conf.get(ROWS_PER_BATCH) == "10000":
+            spark.conf.set(ROWS_PER_BATCH, "1000")
         atexit.register(self._delete, self.root)
 
     def path(self, label: str) -> str:
@@ -82,11 +99,12 @@ class Scratch:
         path = self.path(label)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._scratch_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        if path := self.paths.pop(id(df), None):
+        """Deletes the table of a DataFrame that ``save`` returned; others are left alone."""
+        if path := getattr(df, "_scratch_path", None):
             self._delete(path)
 
     def _delete(self, path: str) -> None:
@@ -104,6 +122,22 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Words of 64 bits in the bitmap of ``semi_join``.
+BITMAP_WORDS = 1 << 16
+
+
+def semi_join(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ids, where ids are few beside the rows: most other rows go before the shuffle.
+
+    A bitmap of hashed ids, BITMAP_WORDS rows at most, is broadcast first; what passes it is joined exactly.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(64 * BITMAP_WORDS))
+    word, bit = F.floor(place / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    bitmap = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    near = rows.join(F.broadcast(bitmap), (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi")
+    return near.join(ids, key, "left_semi")
+
+
 def lower_ascii(text: Column) -> Column:
     """A to Z in lower case, every other character as it is."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -24,13 +24,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             jumped = scratch.save(hooks.join(up, hooks.p == up.u, "left").select("v", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "jumped")
             moved = not jumped.filter("moved").isEmpty()
             scratch.drop(hooks)
-            hooks = jumped.select("v", "p")
+            hooks = jumped
             if not moved:
                 break
         relabel = lambda df, c: df.join(hooks.select(F.col("v").alias("_v"), F.col("p").alias("_p")), F.col(c) == F.col("_v"), "left").withColumn(c, F.coalesce("_p", c)).drop("_v", "_p")
         new_edges = scratch.save(normal(relabel(relabel(edges, "a"), "b")), "edges")
         new_labels = scratch.save(relabel(labels, "root"), "labels")
-        for old in (edges, labels):
+        for old in (edges, labels, hooks):
             scratch.drop(old)
         edges, labels = new_edges, new_labels
     return labels

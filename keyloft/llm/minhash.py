@@ -27,12 +27,10 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloft.llm.common import Scratch, ship, table, worker_store
+from keyloft.llm.common import Scratch, map_arrow, semi_join, table, worker_store
 from keyloft.llm.components import components
 from keyloft.llm.shingling import shingle_sets, splitmix
 
-ship(__name__)
-
 #: Places of the universe that the permutations act on.
 UNIVERSE = 1 << 20
 #: Documents of either side in a block of the last comparison.
@@ -87,7 +85,7 @@ def profiles(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     keys.append(band_keys(signature(s, bands * rows), bands) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=kinds)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, fp binary, bands array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_shingles long, fp binary, bands array<long>")
 
 
 def _measure(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -114,7 +112,7 @@ def _measure(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(ta, "a").join(tb, "b").mapInArrow(run, "a long, b long, common long, size_a long, size_b long")
+    return map_arrow(pairs.select("a", "b").join(ta, "a").join(tb, "b"), run, "a long, b long, common long, size_a long, size_b long")
 
 
 def _private(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -128,7 +126,7 @@ def _private(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
                 sets = [s.view(np.int64) for s in shingle_sets(_utf8(part.column("text")), width)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], schema=kinds)
 
-    sets = texts.select("doc_id", "text").mapInArrow(run, "rep long, hashes array<long>")
+    sets = map_arrow(texts.select("doc_id", "text"), run, "rep long, hashes array<long>")
     held = sets.select("rep", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
     return held.filter("rep = last").groupBy("rep").agg(F.count("*").alias("private")), sets
 
@@ -195,7 +193,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     candidates = members.filter("rep <> leader").join(known.withColumnsRenamed({"rep": "leader", "known": "fame"}), "leader")
     candidates = scratch.save(candidates.select(F.col("rep").alias("a"), F.col("leader").alias("b"), "fame").distinct(), "candidates")
     wanted = candidates.select(F.col("a").alias("doc_id")).union(candidates.select(F.col("b").alias("doc_id"))).distinct()
-    texts = scratch.save(docs.join(wanted, "doc_id", "left_semi"), "texts")
+    texts = scratch.save(semi_join(docs, wanted, "doc_id"), "texts")
 
     once = candidates.groupBy("a").agg(F.max(F.struct("fame", -F.col("b"))).alias("l")).select("a", (-F.col("l.col2")).alias("b"))
     links = scratch.save(_measure(once, texts, width).filter(linked).select("a", "b").union(several), "links")

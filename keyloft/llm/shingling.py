@@ -9,12 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 
-from keyloft.llm.common import ship, worker_store
-
-ship(__name__)
+from keyloft.llm.common import worker_store
 
 #: Bytes hashed in one go; longer texts are cut at white space.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
