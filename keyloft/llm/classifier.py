@@ -15,9 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloft.llm.common import Scratch, ship, table
-
-ship(__name__)
+from keyloft.llm.common import Scratch, map_arrow, table
 
 #: Random features; width of the Gaussian kernel in standard deviations of a statistic; ridge; folds; tasks that sum.
 FEATURES, WIDTH, RIDGE, FOLDS, SUM_TASKS = 192, 6.0, 1e-3, 4, 32
@@ -75,7 +73,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, N_STATISTICS, dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), flat], schema=kinds)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<float>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, x array<float>")
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -171,7 +169,7 @@ class QualityModel:
                 bins = np.clip((raw + 0.5) * BINS / 2, 0, BINS - 1).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"bin": pa.array(bins), "y": batch.column("y"), "raw": pa.array(raw)})
 
-        found = rows.select("x", "y", "fold").mapInArrow(run, "bin int, y double, raw double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("y"), F.avg("raw").alias("raw")).sort("bin").collect()  # BINS rows at most
+        found = map_arrow(rows.select("x", "y", "fold"), run, "bin int, y double, raw double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("y"), F.avg("raw").alias("raw")).sort("bin").collect()  # BINS rows at most
         self.knots = np.maximum.accumulate(np.array([r.raw for r in found]))
         self.levels = isotonic(np.array([r.y for r in found]), np.array([float(r.n) for r in found]))
 
@@ -191,13 +189,13 @@ class QualityModel:
                 if batch.num_rows:
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(model.probabilities(_matrix(batch.column("x"))))})
 
-        return x.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+        return map_arrow(x.select("doc_id", "x"), run, "doc_id long, score double")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold; learned from their own labelled part."""
-    labelled = docs.join(labels.filter("quality is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    model = QualityModel(document_statistics(labelled), labels)
+    scratch = Scratch(docs.sparkSession, "statistics")
+    model = QualityModel(scratch.save(document_statistics(docs), "statistics"), labels)
 
     def run(batches):
         for batch in batches:
@@ -206,7 +204,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
                 x = statistics([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]).astype(np.float64)
                 yield part.filter(pa.array(model.probabilities(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -17,9 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloft.llm.common import Scratch, ship, table
-
-ship(__name__)
+from keyloft.llm.common import Scratch, map_arrow, table
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Buckets of hashed trigrams; weight of a trigram's log likelihood (neighbours overlap, so each counts less than fully); pseudo-votes of the level above.
@@ -57,7 +55,7 @@ def trigram_likelihoods(docs: DataFrame, languages: tuple[str, ...]) -> np.ndarr
         at = np.nonzero(sums)
         yield pa.RecordBatch.from_pydict({"l": pa.array(at[0].astype(np.int32)), "b": pa.array(at[1].astype(np.int32)), "n": pa.array(sums[at])})
 
-    rows = docs.filter(F.col("lang").isin(list(languages)) & F.col("text").isNotNull()).select("lang", "text").mapInArrow(run, "l int, b int, n long")
+    rows = map_arrow(docs.filter(F.col("lang").isin(list(languages)) & F.col("text").isNotNull()).select("lang", "text"), run, "l int, b int, n long")
     sums = np.ones((len(languages), BUCKETS))
     for r in rows.groupBy("l", "b").agg(F.sum("n").alias("n")).toLocalIterator():  # languages * BUCKETS rows at most
         sums[r.l, r.b] += r.n
@@ -84,7 +82,7 @@ def page_evidence(pages: DataFrame, likelihoods: np.ndarray, languages: tuple[st
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds.types)], schema=kinds)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, host string, domain string, suffix string, declared string, n_grams long, ll array<double>")
+    return map_arrow(rows, run, "page_id long, host string, domain string, suffix string, declared string, n_grams long, ll array<double>")
 
 
 def _sums(arrays: str, n: int) -> Column:

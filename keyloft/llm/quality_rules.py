@@ -128,8 +128,10 @@ def quality_rules(docs: DataFrame, whole: bool = False) -> DataFrame:
     table gives an empty result. With whole, column row holds the document's own columns.
     """
     scratch = Scratch(docs.sparkSession, "rules")
-    counts = scratch.save(document_counts(docs, whole), "counts")
-    refs = F.broadcast(references(counts))  # five rows at most
+    # counts are small beside the texts and are kept; whole documents are counted twice rather than written once more
+    counts = document_counts(docs) if whole else scratch.save(document_counts(docs), "counts")
+    refs = F.broadcast(scratch.save(references(counts), "references"))  # five rows at most
+    counts = document_counts(docs, True) if whole else counts
     rows = counts.join(refs, "lang").select(
         *(["row"] if whole else []),
         "doc_id",
