@@ -18,9 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloft.llm.common import Scratch, ship, table
-
-ship(__name__)
+from keyloft.llm.common import Scratch, map_arrow, table
 
 #: Bytes of a chunk; bytes of an archive after which a task starts another; payloads from this size on are stored once.
 CHUNK, ARCHIVE, MIN_REVISIT = 1 << 18, 1 << 28, 1000
@@ -33,8 +31,8 @@ def _open(uri: str, write: bool):
     at, path = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "/", 1))
     if write:
         at.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        return at.open_output_stream(path)
-    return at.open_input_stream(path)
+        return at.open_output_stream(path, compression=None)
+    return at.open_input_stream(path, compression=None)
 
 
 def payloads(pages: DataFrame) -> DataFrame:
@@ -107,7 +105,7 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:0
             done.append((f"{name}-{len(done):04d}.warc.gz", records, size))
         yield pa.RecordBatch.from_pylist([dict(zip(("path", "records", "bytes"), x)) for x in done], schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return rows.mapInArrow(run, "path string, records long, bytes long")
+    return map_arrow(rows, run, "path string, records long, bytes long")
 
 
 class _Inflated:
@@ -203,7 +201,7 @@ def read_chunks(archives: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds.types)], schema=kinds)
 
-    return archives.select("path").mapInArrow(run, CHUNK_ROW)
+    return map_arrow(archives.select("path"), run, CHUNK_ROW)
 
 
 def records(chunks: DataFrame) -> DataFrame:
