@@ -3,18 +3,37 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ordered_numbers(df: DataFrame, by: list[str], order: list[str], block: int = 1 << 16) -> DataFrame:
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows in as many ordered ranges as the session has shuffle partitions (a fixed number, which is not coalesced later), with _p."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+
+
+def running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the sum of value up to and including each row, in order, without one task for all rows.
+
+    Each range of rows is summed on its own and lifted by the totals of the ranges before it.
+    """
+    ranged = _ranged(df.withColumn("_v", value), order)
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_p").agg(F.sum("_v").alias("_t"))  # one row per range
+    starts = totals.select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
+    return ranged.withColumn("_s", F.sum("_v").over(inside)).join(F.broadcast(starts), "_p").withColumn(name, F.col("_base") + F.col("_s")).drop("_p", "_v", "_s", "_base")
+
+
+def ordered_numbers(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Adds row_in_subset: the place (from 0) of each row among those of equal ``by``, in ``order``.
 
     A window over whole groups would put a hot group in one task. Rows are range-partitioned over by and order instead,
     numbered inside each partition, and lifted by what earlier partitions hold of the group; only the per-partition
     counts are windowed. ``order`` has to be unique within a group for a repeatable result.
     """
-    ranged = df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id())
+    ranged = _ranged(df, [*by, *order])
     inside = Window.partitionBy(*by, "_p").orderBy(*order)
     counts = ranged.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -31,9 +50,7 @@ def with_part_ordinal(df: DataFrame, by: list[str], order: list[str], part_rows:
 
 def bounds(parts: DataFrame) -> DataFrame:
     """Offsets of each part among the rows of a selection, in subset and part order; computed on the manifest alone."""
-    order = Window.orderBy("subset_uuid", "created_at_epoch", "part_uuid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum("n_rows").over(order)
-    return parts.withColumn("row_end", end).withColumn("row_start", F.col("row_end") - F.col("n_rows"))
+    return running_sum(parts, ["subset_uuid", "created_at_epoch", "part_uuid"], F.col("n_rows"), "row_end").withColumn("row_start", F.col("row_end") - F.col("n_rows"))
 
 
 def prefix_claim(staged: DataFrame, part_rows: int) -> DataFrame:
@@ -79,7 +96,7 @@ def backlog(staged: DataFrame) -> DataFrame:
 
 def pages(df: DataFrame, order: list[str], size: int = 200) -> DataFrame:
     """Adds page: fixed-size pages in order."""
-    return df.withColumn("page", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long"))
+    return running_sum(df, order, F.lit(1), "_k").withColumn("page", F.floor((F.col("_k") - 1) / size).cast("long")).drop("_k")
 
 
 def keyset_page(df: DataFrame, key: str, after, size: int) -> DataFrame:

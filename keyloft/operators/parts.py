@@ -10,9 +10,10 @@ CODEBOOK_LENGTHS, CODEBOOK_SHARE = 256, 0.1
 
 
 def first_wins(parts: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Of equal content the first one."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return parts.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    """Of equal content the first one. A hot key is reduced before the shuffle."""
+    rest = [c for c in parts.columns if c not in by]
+    first = F.min_by(F.struct(*rest), F.struct(*order))
+    return parts.groupBy(*by).agg(first.alias("_r")).select(*[F.col(c) if c in by else F.col("_r")[c].alias(c) for c in parts.columns])
 
 
 def not_present(new: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
