@@ -32,9 +32,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat a doc_id one stays. Rows without a doc_id stay.
     """
-    judged = near_duplicates(docs)
-    gone = judged.filter("not kept").select("doc_id").distinct()
+    scratch = Scratch(spark, "near-dedup")  # ids that go are written first, so that the join below knows their size
+    gone = scratch.save(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "gone")
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    repeated = scratch.save(repeated, "repeated")
     left = docs.join(gone, "doc_id", "left_anti")
     once = left.join(repeated, "doc_id", "left_anti")
     return once.unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
@@ -42,7 +43,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
-    bad = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("text_key").distinct()
+    scratch = Scratch(spark, "contaminated")
+    bad = scratch.save(contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("text_key").distinct(), "texts")
     return docs.join(bad, F.xxhash64("text") == bad.text_key, "left_anti")
 
 
