@@ -151,7 +151,7 @@ class QualityModel:
             yield pa.RecordBatch.from_pydict({"fold": pa.array(range(folds), pa.int32()), "sums": pa.array([s.tobytes() for s in sums], pa.binary())})
 
         out: dict[int, np.ndarray] = {}
-        for r in rows.select("x", "y", "fold").mapInArrow(run, "fold int, sums binary").toLocalIterator():
+        for r in map_arrow(rows.select("x", "y", "fold").coalesce(SUM_TASKS), run, "fold int, sums binary").collect():  # SUM_TASKS * folds rows
             own = np.frombuffer(r.sums).reshape(size, size)
             if own[-2, -2]:
                 out[r.fold] = out.get(r.fold, 0) + own

@@ -36,8 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def tidy(batches):
-    """The same batches; at their end the worker gives unused memory back to the system."""
+def tidy(batches, keep: tuple[str, ...] = ()):
+    """The same batches; what other operators left in the worker goes first, unused memory goes back to the system last."""
+    store = worker_store()
+    for key in [k for k in store if (k[0] if isinstance(k, tuple) else k) not in keep]:
+        del store[key]
     yield from batches
     import ctypes
     import gc
@@ -52,9 +55,9 @@ def tidy(batches):
         pass
 
 
-def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) that tidies up after each task."""
-    return df.mapInArrow(lambda batches: tidy(run(batches)), schema)
+def map_arrow(df: DataFrame, run, schema, keep: tuple[str, ...] = ()) -> DataFrame:
+    """df.mapInArrow(run, schema) that tidies up around each task; keep names what it shares in the worker's store."""
+    return df.mapInArrow(lambda batches: tidy(run(batches), keep), schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

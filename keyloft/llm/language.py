@@ -57,7 +57,7 @@ def trigram_likelihoods(docs: DataFrame, languages: tuple[str, ...]) -> np.ndarr
 
     rows = map_arrow(docs.filter(F.col("lang").isin(list(languages)) & F.col("text").isNotNull()).select("lang", "text"), run, "l int, b int, n long")
     sums = np.ones((len(languages), BUCKETS))
-    for r in rows.groupBy("l", "b").agg(F.sum("n").alias("n")).toLocalIterator():  # languages * BUCKETS rows at most
+    for r in rows.groupBy("l", "b").agg(F.sum("n").alias("n")).collect():  # languages * BUCKETS rows at most
         sums[r.l, r.b] += r.n
     return np.log(sums / sums.sum(axis=1, keepdims=True))
 

@@ -35,6 +35,7 @@ from keyloft.llm.shingling import shingle_sets, splitmix
 UNIVERSE = 1 << 20
 #: Documents of either side in a block of the last comparison.
 BLOCK_X, BLOCK_Y = 256, 2048
+SHARED = ("circulant", "shingling")
 
 
 def _windows(coordinates: int, seed: int) -> np.ndarray:
@@ -85,7 +86,7 @@ def profiles(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     keys.append(band_keys(signature(s, bands * rows), bands) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=kinds)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_shingles long, fp binary, bands array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_shingles long, fp binary, bands array<long>", SHARED)
 
 
 def _measure(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -112,7 +113,7 @@ def _measure(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return map_arrow(pairs.select("a", "b").join(ta, "a").join(tb, "b"), run, "a long, b long, common long, size_a long, size_b long")
+    return map_arrow(pairs.select("a", "b").join(ta, "a").join(tb, "b"), run, "a long, b long, common long, size_a long, size_b long", SHARED)
 
 
 def _private(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +127,7 @@ def _private(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
                 sets = [s.view(np.int64) for s in shingle_sets(_utf8(part.column("text")), width)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], schema=kinds)
 
-    sets = map_arrow(texts.select("doc_id", "text"), run, "rep long, hashes array<long>")
+    sets = map_arrow(texts.select("doc_id", "text"), run, "rep long, hashes array<long>", SHARED)
     held = sets.select("rep", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
     return held.filter("rep = last").groupBy("rep").agg(F.count("*").alias("private")), sets
 
@@ -184,12 +185,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     several = placed.join(same_id.select("doc_id", "a"), "doc_id").filter("rep > a").select("a", F.col("rep").alias("b"))
 
     keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
+    # what is found per key is written before it is joined to the rows of the key: a join of two plain tables can be split
+    # where a key is hot, one that reuses the grouping of an aggregate can't
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("size")).filter("first < last").select("key", "size")
-    members = scratch.save(keyed.join(buckets, "key"), "buckets")
-    known = members.groupBy("rep").agg(F.sum("size").alias("known"))
+    members = scratch.save(keyed.join(scratch.save(buckets, "buckets"), "key"), "in-buckets")
+    known = scratch.save(members.groupBy("rep").agg(F.sum("size").alias("known")), "known")
     members = members.join(known, "rep")
     leaders = members.groupBy("key").agg(F.max(F.struct("known", -F.col("rep"))).alias("l")).select("key", (-F.col("l.col2")).alias("leader"))
-    members = scratch.save(members.join(leaders, "key").select("rep", "n", "key", "known", "leader"), "members")
+    members = scratch.save(members.join(scratch.save(leaders, "leaders"), "key").select("rep", "n", "key", "known", "leader"), "members")
     candidates = members.filter("rep <> leader").join(known.withColumnsRenamed({"rep": "leader", "known": "fame"}), "leader")
     candidates = scratch.save(candidates.select(F.col("rep").alias("a"), F.col("leader").alias("b"), "fame").distinct(), "candidates")
     wanted = candidates.select(F.col("a").alias("doc_id")).union(candidates.select(F.col("b").alias("doc_id"))).distinct()
@@ -207,9 +210,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         labels = components(links, scratch)
 
     crowd = candidates.select(F.col("b").alias("leader"), F.col("a").alias("rep")).union(candidates.select(F.col("b").alias("leader"), F.col("b").alias("rep"))).distinct()
-    crowd = label(crowd, "rep", "root")
+    crowd = scratch.save(label(crowd, "rep", "root"), "crowd")
     several_roots = crowd.groupBy("leader").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("leader")
-    mixed = scratch.save(crowd.join(several_roots, "leader"), "mixed")
+    mixed = scratch.save(crowd.join(scratch.save(several_roots, "several-roots"), "leader"), "mixed")
     if not mixed.isEmpty():
         private, sets = _private(texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
         # whatever two documents share is private to neither, so a document with many private shingles has no link at all
@@ -218,7 +221,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         sizes = mixed.groupBy("leader", "root").agg(F.count("*").alias("size"))
         groups = sizes.groupBy("leader").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("all"), F.count("*").alias("roots")).filter("roots > 1")
         groups = groups.select("leader", F.col("most.root").alias("major"), F.ceil((F.col("all") - F.col("most.size")) / BLOCK_X).cast("int").alias("nx"), F.ceil(F.col("all") / BLOCK_Y).cast("int").alias("ny"))
-        placed_x = mixed.join(groups, "leader").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nx"))).withColumn("other", F.pmod(F.xxhash64("rep"), F.col("ny")))
+        placed_x = mixed.join(scratch.save(groups, "groups"), "leader").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nx"))).withColumn("other", F.pmod(F.xxhash64("rep"), F.col("ny")))
         x = placed_x.filter("root <> major").select("leader", F.col("mine").alias("bx"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny").cast("long") - 1)).alias("by"), "rep", "root", F.lit(True).alias("x"))
         y = placed_x.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx").cast("long") - 1)).alias("bx"), F.col("other").alias("by"), "rep", "root", F.lit(False).alias("x"))
         blocks = x.union(y).join(sets, "rep").select("leader", "bx", "by", "rep", "root", "hashes", "x")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloft.llm.common import Scratch, env_path, map_arrow, table
-from keyloft.llm.tokens import Encoder
+from keyloft.llm.tokens import SHARED, Encoder
 
 #: Pieces (or open bins) that one task packs.
 GROUP_ROWS = 100_000
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array(np.frombuffer(c, np.int64)) if len(c) else pa.array([], pa.int64()) for c in out)], schema=kinds)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, run, "doc_id long, piece long, start long, length long, ids_crc32 long")
+    return map_arrow(rows, run, "doc_id long, piece long, start long, length long, ids_crc32 long", SHARED)
 
 
 def _pack_rows(rows: DataFrame, n: int, capacity: int, keep: list[str], size: str, names: tuple[str, str, str]) -> DataFrame:

@@ -21,6 +21,8 @@ from keyloft.llm.common import env_path, map_arrow, table, worker_store
 #: Characters of a text that are taken up at once; bytes that one call encodes; units that a worker remembers; longest of them.
 SEGMENT, CALL_BYTES, REMEMBER, LONGEST = 1 << 16, 1 << 18, 300_000, 64
 
+SHARED = ("tokenizer", "units", "ends")
+
 _INSIDE_WHITE = re.compile(r"\s \s")
 _AFTER_WORD = re.compile(r"(?<=\S)(?= )")
 _BREAK = re.compile(r"(?<=\S) ")
@@ -169,7 +171,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return map_arrow(rows, run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return map_arrow(rows, run, "doc_id long, n_bytes long, n_tokens long", SHARED).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
