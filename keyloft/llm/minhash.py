@@ -193,8 +193,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     members = members.join(known, "rep")
     leaders = members.groupBy("key").agg(F.max(F.struct("known", -F.col("rep"))).alias("l")).select("key", (-F.col("l.col2")).alias("leader"))
     members = scratch.save(members.join(scratch.save(leaders, "leaders"), "key").select("rep", "n", "key", "known", "leader"), "members")
-    candidates = members.filter("rep <> leader").join(known.withColumnsRenamed({"rep": "leader", "known": "fame"}), "leader")
-    candidates = scratch.save(candidates.select(F.col("rep").alias("a"), F.col("leader").alias("b"), "fame").distinct(), "candidates")
+    once_each = scratch.save(members.filter("rep <> leader").select("rep", "leader").distinct(), "pairs")
+    fame = known.withColumnsRenamed({"rep": "leader", "known": "fame"})
+    candidates = scratch.save(once_each.join(fame, "leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"), "fame"), "candidates")
     wanted = candidates.select(F.col("a").alias("doc_id")).union(candidates.select(F.col("b").alias("doc_id"))).distinct()
     texts = scratch.save(semi_join(docs, wanted, "doc_id"), "texts")
 
