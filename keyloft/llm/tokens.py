@@ -26,6 +26,7 @@ SHARED = ("tokenizer", "units", "ends")
 _INSIDE_WHITE = re.compile(r"\s \s")
 _AFTER_WORD = re.compile(r"(?<=\S)(?= )")
 _BREAK = re.compile(r"(?<=\S) ")
+_ODD_MARK = re.compile("[^a-z\u00df-\u00f6\u00f8-\u00ff][.,] ")
 #: A word of Latin letters, which is one token group, and perhaps a full stop or comma, which is another.
 _WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
 
@@ -60,8 +61,28 @@ def byte_units(text: str) -> list[str]:
 
 
 def word_units(text: str) -> list[str]:
-    """Units of a text for word BPE, which drops white space."""
-    return text.replace("\n", " ").split(" ")
+    """Units of a text for word BPE, which drops white space and case.
+
+    Lower-casing first and parting the commas and full stops that end words make units repeat more. The first is done for
+    Latin-1 texts without special strings, where it can't change a token; the second where each such mark follows a letter
+    and precedes a space, so that it is a token group of its own anyway.
+    """
+    text = text.replace("\n", " ")
+    if "<|" not in text and _is_latin(text):
+        text = text.lower()
+        if not _ODD_MARK.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ")
+    return text.split(" ")
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 UNITS = {"byte_bpe_50k.json": byte_units, "word_bpe_49k.json": word_units}
@@ -97,7 +118,7 @@ class Encoder:
         """Encodes units in calls of about CALL_BYTES bytes; returns those that are not to be remembered.
 
         While there is room, short units are remembered. A full memory stays as it is, for common units come early, until
-        too many of a call's units are missing from it.
+        hardly any of a call's units is in it, as when the language changes.
         """
         room, brief = len(self.known) < REMEMBER, []
         joined = [u for u in units if _WORD.fullmatch(u)] if self.ends is not None else []
@@ -145,7 +166,7 @@ class Encoder:
             brief = self.learn(new)
             for parts in cut:
                 yield chain.from_iterable(map(self.known.__getitem__, units) for units in parts)
-            if len(self.known) - len(brief) >= REMEMBER and 2 * len(new) > len(seen):
+            if len(self.known) - len(brief) >= REMEMBER and 20 * len(new) > 19 * len(seen):
                 self.known.clear()
             else:
                 for x in brief:
