@@ -15,6 +15,7 @@ from keyloft.llm.decontamination import contamination
 from keyloft.llm.minhash import near_duplicates
 from keyloft.llm.packing import pack
 from keyloft.llm.quality_rules import quality_rules
+from keyloft.operators.chunking import running_sum
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,17 +29,29 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates (5-word shingles, 0.8).
+    """One row, of the smallest doc_id, of each group of near-duplicate texts (5-word shingles, 0.8).
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id stay.
+    Rows that repeat a doc_id are judged each by its own text: those of near-duplicate texts go but for one, unrelated texts
+    under one doc_id all stay. Texts without words are equal under one doc_id and differ between two. Rows without a doc_id
+    stay.
     """
     scratch = Scratch(spark, "near-dedup")  # ids that go are written first, so that the join below knows their size
-    gone = scratch.save(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "gone")
+    gone_of = lambda df: scratch.save(near_duplicates(df).filter("not kept").select("doc_id").distinct(), "gone")
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     repeated = scratch.save(repeated, "repeated")
-    left = docs.join(gone, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return docs.join(gone_of(docs), "doc_id", "left_anti").select(docs.columns)
+    # each text of a doc_id gets a number of its own, in the order of doc_id
+    text = F.col("text").cast("string")
+    keyed = docs.withColumn("_text", F.when(text.rlike("[^ \\t-\\r]"), F.sha2(text, 256)).otherwise(F.lit("")))
+    texts = scratch.save(keyed.filter("doc_id is not null").select("doc_id", "_text").distinct(), "ids-and-texts")
+    nodes = scratch.save(running_sum(texts, ["doc_id", "_text"], F.lit(1), "_node"), "nodes")
+    rows = scratch.save(keyed.join(nodes, ["doc_id", "_text"]), "numbered")
+    gone = gone_of(rows.select(F.col("_node").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_node")
+    left = rows.join(gone, "_node", "left_anti")
     once = left.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    several = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["_node"])
+    return once.unionByName(several).select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,13 @@ def test_stages_on_odd_rows(spark, sf_dir):
     items = spark.createDataFrame([(1, "same words here")], "item_id long, text string")
     keys = decontamination.contamination(bad, items).filter("contaminated").select("text_key").distinct().count()
     assert keys == 1
+
+
+def test_unrelated_texts_of_one_id_are_judged_each(spark, sf_dir):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(7, words("a")), (7, words("b")), (7, words("b") + " end"), (7, words("a")), (9, words("b") + " more"), (8, words("c")), (3, words("a") + " first"), (5, None), (5, " "), (6, ""), (None, words("a"))]
+    docs = docs_of(spark, [(i, t, "en") for i, t in rows])
+    out = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    kept = [(r.doc_id, (r.text or "").split(" ")[0]) for r in out.collect()]
+    assert sorted(kept, key=str) == sorted([(3, "a0"), (7, "b0"), (8, "c0"), (5, ""), (6, ""), (None, "a0")], key=str)
+    assert out.columns == docs.columns
