@@ -117,19 +117,23 @@ def _measure(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def _private(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """rep, private: how many shingles of a document no other of these documents holds (none: no row); and rep, hashes: the sets."""
+    """set, private: how many shingles of a set no other set of these texts holds (none: no row); and rep, set, hashes: the sets.
+
+    A set goes by a hash of its fingerprint, so that several texts of a document count apart and equal ones as one.
+    """
 
     def run(batches):
-        kinds = pa.schema([("rep", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+        kinds = pa.schema([("rep", pa.int64()), ("fp", pa.binary()), ("hashes", pa.list_(pa.int64()))])
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [s.view(np.int64) for s in shingle_sets(_utf8(part.column("text")), width)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], schema=kinds)
+                fps = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], schema=kinds)
 
-    sets = map_arrow(texts.select("doc_id", "text"), run, "rep long, hashes array<long>", SHARED)
-    held = sets.select("rep", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
-    return held.filter("rep = last").groupBy("rep").agg(F.count("*").alias("private")), sets
+    sets = map_arrow(texts.select("doc_id", "text"), run, "rep long, fp binary, hashes array<long>", SHARED).select("rep", F.xxhash64("fp").alias("set"), "hashes")
+    held = sets.select("set", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("set").alias("set"), F.max("set").alias("last"))
+    return held.filter("set = last").groupBy("set").agg(F.count("*").alias("private")), sets
 
 
 def _links_in_block(percent: int):
@@ -215,17 +219,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     several_roots = crowd.groupBy("leader").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("leader")
     mixed = scratch.save(crowd.join(scratch.save(several_roots, "several-roots"), "leader"), "mixed")
     if not mixed.isEmpty():
-        private, sets = _private(texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
-        # whatever two documents share is private to neither, so a document with many private shingles has no link at all
-        able = classes.select("rep", "n").join(private, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("private", F.lit(0))).filter(F.col("shared") * 100 >= percent * F.col("n")).select("rep")
-        mixed = scratch.save(mixed.join(able, "rep", "left_semi"), "able")
+        ids = mixed.select(F.col("rep").alias("doc_id")).distinct()
+        private, sets = _private(texts.join(ids, "doc_id", "left_semi"), width)
+        # whatever two sets share is private to neither, so a set with many private shingles has no link at all
+        own = valid.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.xxhash64("fp").alias("set"), F.col("n_shingles").alias("n")).distinct()
+        able = own.join(private, "set", "left").withColumn("shared", F.col("n") - F.coalesce("private", F.lit(0))).filter(F.col("shared") * 100 >= percent * F.col("n")).select("rep", "set")
+        mixed = scratch.save(mixed.join(able, "rep"), "able")
         sizes = mixed.groupBy("leader", "root").agg(F.count("*").alias("size"))
         groups = sizes.groupBy("leader").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("all"), F.count("*").alias("roots")).filter("roots > 1")
         groups = groups.select("leader", F.col("most.root").alias("major"), F.ceil((F.col("all") - F.col("most.size")) / BLOCK_X).cast("int").alias("nx"), F.ceil(F.col("all") / BLOCK_Y).cast("int").alias("ny"))
-        placed_x = mixed.join(scratch.save(groups, "groups"), "leader").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nx"))).withColumn("other", F.pmod(F.xxhash64("rep"), F.col("ny")))
-        x = placed_x.filter("root <> major").select("leader", F.col("mine").alias("bx"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny").cast("long") - 1)).alias("by"), "rep", "root", F.lit(True).alias("x"))
-        y = placed_x.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx").cast("long") - 1)).alias("bx"), F.col("other").alias("by"), "rep", "root", F.lit(False).alias("x"))
-        blocks = x.union(y).join(sets, "rep").select("leader", "bx", "by", "rep", "root", "hashes", "x")
+        placed_x = mixed.join(scratch.save(groups, "groups"), "leader").withColumn("mine", F.pmod(F.xxhash64("rep", "set"), F.col("nx"))).withColumn("other", F.pmod(F.xxhash64("rep", "set"), F.col("ny")))
+        x = placed_x.filter("root <> major").select("leader", F.col("mine").alias("bx"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny").cast("long") - 1)).alias("by"), "rep", "set", "root", F.lit(True).alias("x"))
+        y = placed_x.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx").cast("long") - 1)).alias("bx"), F.col("other").alias("by"), "rep", "set", "root", F.lit(False).alias("x"))
+        blocks = x.union(y).join(sets, ["rep", "set"]).select("leader", "bx", "by", "rep", "root", "hashes", "x")
         cross = scratch.save(blocks.groupBy("leader", "bx", "by").applyInArrow(_links_in_block(percent), "a long, b long"), "cross")
         if not cross.isEmpty():
             labels = components(links.union(cross), scratch)

@@ -126,6 +126,19 @@ def test_many_strays_beside_a_large_group(spark):
     assert {r.doc_id: r.component_id for r in found} == brute_components(rows, 2, 80)
 
 
+def test_strays_with_a_second_text(spark):
+    """Every document has an unrelated second text, whose shingles no other document holds."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(160):
+        copy = [f"w{k}" for k in range(100)]
+        for k in rng.sample(range(100), rng.choice([2, 4, 6, 7, 8])):
+            copy[k] = f"v{rng.randrange(12)}"
+        rows += [(i, " ".join(copy)), (i, " ".join(f"u{i}x{k}" for k in range(120)))]
+    found = minhash.near_duplicates(docs_of(spark, [(i, t, "en") for i, t in rows]), 2).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute_components(rows, 2, 80)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (1, 0)]
     rng = random.Random(2)
