@@ -1,9 +1,10 @@
 """Language of web pages by Bayesian fusion of evidence.
 
 Text gives likelihoods from character trigrams, learned from labelled documents by grouped counts. Declared markup
-language and address suffix give likelihoods from how often each goes with a language that the text alone suggests. The
-prior of a page is that of its host, smoothed towards its domain, the domain towards its suffix, the suffix towards all
-pages; a page's own vote is taken out of every level first.
+language gives a likelihood from how often it goes with a language that the text alone suggests. The prior of a page is
+that of its host, smoothed towards its domain, the domain towards its suffix, the suffix towards all pages; a page's own
+vote is taken out of every level first. The address suffix is such a level only and has no likelihood of its own, so it
+counts little on hosts with many votes.
 """
 
 from __future__ import annotations
