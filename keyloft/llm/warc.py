@@ -3,7 +3,9 @@
 Writing: each task streams its records, compressed one by one, to an archive in the shared folder and reports the archive's
 name, so what a lost or repeated attempt wrote is never read. Reading: archives are streamed into rows of record, chunk
 number and a bounded piece of the payload, each with the SHA-1 and the byte count of the payload up to there; the last
-chunk of a record thus carries its digest, which is compared with the record's header. No record is held as a whole.
+chunk of a record thus carries its digest, which is compared with the record's header. The reading half holds no record as
+a whole. The writing half does: a payload is one cell that is hashed, shuffled beside its duplicates and handed to Python
+in a batch of rows, so very large pages cost memory there.
 """
 
 from __future__ import annotations
