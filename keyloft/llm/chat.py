@@ -2,7 +2,7 @@
 
 For each participant the dialogue is rendered once with that speaker as assistant and all others as named users; the loss
 mask covers what the assistant says. Dialogues come in chunks of neighbouring turns, so a dialogue of any length is never
-gathered in one task; the chunks of a dialogue and perspective, joined in order, are its full rendering.
+gathered in one task; the chunks of a dialogue and perspective, joined in order by ``joined``, are its full rendering.
 """
 
 from __future__ import annotations
@@ -56,6 +56,24 @@ def rotate(conversations: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFram
     return out.select("conv_id", "perspective", "chunk", "n_turns", "made.text", "made.spans")
 
 
+def joined(fragments: DataFrame) -> DataFrame:
+    """conv_id, perspective, n_turns, text, spans: the rows of ``rotate`` with the chunks of a dialogue joined in order.
+
+    spans are ranges of the whole text. Each dialogue and perspective is gathered in one row, so the longest has to fit one.
+    Rows of a null conv_id, which always are whole dialogues, stay as they are.
+    """
+    columns = ("conv_id", "perspective", "n_turns", "text", "spans")
+    rows = fragments.filter("conv_id is not null").groupBy("conv_id", "perspective").agg(F.sort_array(F.collect_list(F.struct("chunk", "n_turns", "text", "spans"))).alias("parts"), F.sum("n_turns").alias("n_turns"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+    def step(acc: Column, p: Column) -> Column:
+        moved = F.transform(p["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + F.length(p["text"])).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
+
+    whole = rows.withColumn("text", F.array_join(F.transform("parts", lambda p: p["text"]), "")).withColumn("spans", F.aggregate("parts", start, step)["spans"])
+    return whole.select(*columns).unionByName(fragments.filter("conv_id is null").select(*columns))
+
+
 def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations from the view of each participant; masks as "start-end" lists."""
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")

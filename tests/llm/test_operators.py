@@ -466,3 +466,13 @@ def test_rotation_covers_everyone_and_masks_the_assistant(spark):
     assert ann.text.startswith("<|im_start|>user name=unknown\nfirst<|im_end|>\n<|im_start|>system\nbe kind") and "user name=bob_b\nyo" in ann.text
     assert mine[("ann", 3)].spans == [] and sorted(r.n_turns for r in found if r.conv_id is None) == [1, 2]
     assert not [r for r in found if r.conv_id == 2] and chat.rotate(df.limit(0)).count() == 0
+
+
+def test_chunks_are_joined_to_whole_dialogues(spark):
+    rows = [(1, t, ("ann", "bob")[t % 2], f"say {t}") for t in range(150)] + [(2, 1_000 * t, ("ann", "bob")[t % 2], f"é {t}") for t in range(5)] + [(None, 0, "ann", "alone"), (None, 900, "ann", "too")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    of = lambda frame: sorted((r.conv_id or -1, r.perspective, r.n_turns, r.text, [tuple(s) for s in r.spans]) for r in frame.collect())
+    found = of(chat.joined(chat.rotate(df)))
+    assert found == of(chat.rotate(df, chunk_turns=10**6)) and len(found) == 6
+    ann = next(r for r in found if r[:2] == (1, "ann"))
+    assert [ann[3][a:b] for a, b in ann[4]] == [f"say {t}<|im_end|>" for t in range(0, 150, 2)]
