@@ -1,4 +1,4 @@
-"""Commands over a store: python -m keyloft.cli ROOT ls | meta A | schema A | keys A | subsets A | parts A SUBSET | batches A | batch A BID | peek A PART | audit A."""
+"""Commands over a store: python -m keyloft.cli ROOT ls | meta A | schema A | keys A | subsets A | parts A SUBSET | batches A | batch A BID | peek A PART | audit A | tree | search A TEXT | dbstat A | optimize A | watch A."""
 
 from __future__ import annotations
 
@@ -23,6 +23,11 @@ def run(store: Store, command: str, *args: str) -> DataFrame | dict | list:
         "batch": lambda: store.show_batch(*args),
         "peek": lambda: store.peek(*args),
         "audit": lambda: store.audit(args[0]),
+        "tree": lambda: {a: store.catalog.head(a).paths for a in store.catalog.aliases()},
+        "search": lambda: store.search(*args),
+        "dbstat": lambda: store.statistics(args[0]),
+        "optimize": lambda: store.optimize(args[0]),
+        "watch": lambda: store.catalog.commits(args[0])[-20:],
     }[command]()
 
 

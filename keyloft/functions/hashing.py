@@ -61,3 +61,10 @@ def chain_step(prev: str, bid: str, parts: list[tuple[str, str]], created_at: in
     ordered = sorted(parts)
     text = "\x1f".join([prev, bid, ",".join(p for p, _ in ordered), ",".join(h for _, h in ordered), str(created_at), salt])
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def chain_entry(prev: Column, bid: Column, parts: Column, created_at: Column, salt: str) -> Column:
+    """chain_step of a sorted array of structs (part_uuid, content_hash), as a column."""
+    parts = F.coalesce(parts, F.array().cast("array<struct<part_uuid:string,content_hash:string>>"))
+    ids, hashes = F.array_join(parts["part_uuid"], ","), F.array_join(parts["content_hash"], ",")
+    return F.sha2(F.concat_ws("\x1f", prev, bid, ids, hashes, created_at.cast("string"), F.lit(salt)), 256)

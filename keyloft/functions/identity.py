@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyloft.errors import InvalidKeyValue, named
+
 DEFAULT_SCALE = 1e3
 #: Fixed codes: a normal number, NaN, +Inf, -Inf.
 NORMAL, NAN, PLUS_INF, MINUS_INF = 0, 1, 2, 3
@@ -24,7 +27,7 @@ def quantized(k: Column, scale: float) -> Column:
     """round(k * scale), halves to even; 0 for special values; values beyond 64 bits fail the job."""
     scaled = F.rint(k.cast("double") * F.lit(float(scale)))
     fits = F.abs(scaled) < F.lit(float(2**63))
-    return F.when(special_code(k) == NORMAL, F.when(fits, scaled.cast("long")).otherwise(F.raise_error(F.lit("a key is too large to quantize")).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return F.when(special_code(k) == NORMAL, F.when(fits, scaled.cast("long")).otherwise(F.raise_error(F.lit(named(InvalidKeyValue, "a key is too large to quantize"))).cast("long"))).otherwise(F.lit(0).cast("long"))
 
 
 def special_of(v: float, scale: float) -> tuple[int, int]:
@@ -65,10 +68,13 @@ def uuid_of(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else str(uuid.UUID(bytes=hashlib.blake2b(x.encode(), digest_size=16).digest())))
 
 
-def with_subset_uuid(df: DataFrame, keys: dict[str, str], scales: dict[str, float]) -> DataFrame:
-    """Adds identity columns and subset_uuid. The id is computed once per distinct key, then joined back."""
+def with_subset_uuid(df: DataFrame, keys: dict[str, str], scales: dict[str, float], save: Callable[[DataFrame], DataFrame] = lambda ids: ids) -> DataFrame:
+    """Adds identity columns and subset_uuid. The id is computed once per distinct key, then joined back.
+
+    With save, which writes and rereads the ids, the join knows their size and can split a hot subset.
+    """
     rows = df.select("*", *identity_columns(keys, scales)).withColumn("_identity", identity_text(keys))
-    ids = rows.select("_identity").distinct().withColumn("subset_uuid", uuid_of("_identity"))
+    ids = save(rows.select("_identity").distinct().withColumn("subset_uuid", uuid_of("_identity")))
     return rows.join(ids, "_identity").drop("_identity")
 
 

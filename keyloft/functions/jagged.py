@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyloft.errors import DataExceedsCanon, named
+
 
 def length(a: Column) -> Column:
     """Length of an array; 0 for null."""
@@ -14,18 +19,11 @@ def length(a: Column) -> Column:
 
 def shape(a: Column, dims: int) -> Column:
     """Longest extent per dimension of a nested array, 0 where there is nothing."""
-    out, at = [], a
-    for _ in range(dims):
-        out.append(length(at))
-        at = F.flatten(at) if len(out) < dims else at
-    first = out[:1]
-    # deeper extents are those of the longest inner array
-    for d in range(1, dims):
-        inner = a
-        for _ in range(d - 1):
-            inner = F.flatten(inner)
-        first.append(F.coalesce(F.array_max(F.transform(inner, lambda x: length(x))), F.lit(0)).cast("int"))
-    return F.array(*first)
+    out, level = [length(a)], a
+    for _ in range(1, dims):
+        out.append(F.coalesce(F.array_max(F.transform(level, lambda x: length(x))), F.lit(0)).cast("int"))
+        level = F.flatten(level)
+    return F.array(*out)
 
 
 def zero_of(kind: T.DataType) -> Column:
@@ -37,11 +35,22 @@ def zero_of(kind: T.DataType) -> Column:
     return F.lit(0).cast(kind)
 
 
-def pad(a: Column, to: int, kind: T.DataType) -> Column:
-    """The array extended to ``to`` elements; a longer one fails the job."""
-    a = F.coalesce(a, F.array().cast(T.ArrayType(kind)))
-    too_long = F.raise_error(F.concat(F.lit(f"longer than the canonical {to}: "), F.size(a).cast("string"))).cast(T.ArrayType(kind))
-    return F.when(F.size(a) > to, too_long).otherwise(F.concat(a, F.array_repeat(zero_of(kind), F.lit(to) - F.size(a))))
+def pad(a: Column, to: int | list[int], kind: T.DataType) -> Column:
+    """The array extended to ``to`` elements, nested ones to a list of extents; a longer one fails the job.
+
+    kind is the type of the innermost elements.
+    """
+    extents = [to] if isinstance(to, int) else list(to)
+    inner, array = kind, T.ArrayType(kind)
+    for _ in extents[1:]:
+        inner, array = array, T.ArrayType(array)
+    a = F.coalesce(a, F.array().cast(array))
+    fill = zero_of(kind)
+    for n in reversed(extents[1:]):
+        fill = F.array_repeat(fill, n)
+    rows = a if len(extents) == 1 else F.transform(a, lambda x: pad(x, extents[1:], kind))
+    message = F.concat(F.lit(named(DataExceedsCanon, f"longer than the canonical {extents[0]}: ")), F.size(a).cast("string"))
+    return F.when(F.size(a) > extents[0], F.raise_error(message).cast(array)).otherwise(F.concat(rows, F.array_repeat(fill.cast(inner), F.greatest(F.lit(0), F.lit(extents[0]) - F.size(a)))))
 
 
 def unpad(a: Column, n: Column) -> Column:
@@ -54,9 +63,11 @@ def has_any(name: str) -> Column:
     return F.col(f"{name}_len") > 0
 
 
-def at_least(name: str, k: int) -> Column:
-    """length(name) >= k, by the stored length."""
-    return F.col(f"{name}_len") >= k
+def at_least(name: str, k: int | tuple[int, ...]) -> Column:
+    """length(name) >= k by the stored length; for nested arrays every extent by the stored shape (0 asks nothing)."""
+    if isinstance(k, int):
+        return F.col(f"{name}_len") >= k
+    return reduce(and_, [F.get(f"{name}_shape", F.lit(d)) >= n for d, n in enumerate(k) if n], F.lit(True))
 
 
 def width(longest: Column) -> Column:

@@ -21,6 +21,16 @@ def not_present(new: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
     return new.join(held.select(*by), by, "left_anti")
 
 
+def in_both(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Keys that both tables have, once each."""
+    return a.select(*by).intersect(b.select(*by))
+
+
+def in_either(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Keys that either table has, once each."""
+    return a.select(*by).union(b.select(*by)).distinct()
+
+
 def live_rows(subsets: DataFrame, parts: DataFrame) -> DataFrame:
     """subset_uuid, live_rows: rows in unmarked parts, 0 where there are none."""
     sums = parts.filter("not marked_for_deletion").groupBy("subset_uuid").agg(F.sum("n_rows").alias("_n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyloft import schema
 from keyloft.functions import hashing, identity, jagged, text, timeutil
 from keyloft.operators import chunking, graph, parts, predicates
 
@@ -41,12 +42,6 @@ _ODD = "(SELECT * REPLACE (CASE event_id % 50 WHEN 1 THEN 'nan'::DOUBLE WHEN 2 T
 # ---------------------------------------------------------------- subsets, identity and predicates
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS total_rows FROM lineitem GROUP BY 1, 2")
-def q_subset_registry(spark, sf_dir):
-    """Subsets of lineitem and their rows."""
-    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("total_rows"))
-
-
 @query(f"SELECT CASE WHEN isnan(value) THEN 1 WHEN value = 'inf'::DOUBLE THEN 2 WHEN value = '-inf'::DOUBLE THEN 3 ELSE 0 END AS k_s, count(*) AS n FROM {_ODD} GROUP BY 1")
 def q_identity_specials(spark, sf_dir):
     return _odd_values(spark, sf_dir).groupBy(identity.special_code(F.col("value")).alias("k_s")).agg(F.count("*").alias("n"))
@@ -97,9 +92,11 @@ def q_time_window(spark, sf_dir):
     return df.filter(predicates.time_window("us", "2024-01-10", "2024-01-20T12:00:00Z")).select("event_id", "us", timeutil.iso(F.col("us")).alias("iso"))
 
 
-@query("SELECT count(*) AS n, count_if(regexp_full_match(event_type, '[A-Za-z0-9_]+'))::BIGINT AS safe FROM events")
+@query("SELECT event_type, count(*) AS n, regexp_full_match(event_type, '[A-Za-z0-9_]+') AS safe, regexp_full_match(event_type || '-', '[A-Za-z0-9_]+') AS marked FROM events GROUP BY 1")
 def q_schema_names(spark, sf_dir):
-    return _t(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.count_if(F.col("event_type").rlike("^[A-Za-z0-9_]+$")).alias("safe"))
+    """Which values would do as names of keys or fields."""
+    rows = _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return rows.select("event_type", "n", schema.is_safe(F.col("event_type")).alias("safe"), schema.is_safe(F.concat("event_type", F.lit("-"))).alias("marked"))
 
 
 @query("""SELECT c_custkey, '{"c_mktsegment":"' || c_mktsegment || '","c_nationkey":' || c_nationkey || '}' AS display_key FROM customer""")
@@ -107,11 +104,11 @@ def q_display_key(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", identity.display_key({"c_nationkey": "INTEGER", "c_mktsegment": "TEXT"}).alias("display_key"))
 
 
-@query("SELECT o_orderkey, o_orderdate, o_orderpriority, o_totalprice FROM orders")
+@query("SELECT l_extendedprice, l_linenumber::BIGINT AS l_linenumber, l_orderkey, l_quantity, l_returnflag FROM lineitem")
 def q_sorted_projection(spark, sf_dir):
-    """Fields in name order, as stored rows have them."""
-    df = _t(spark, sf_dir, "orders")
-    return df.select(*sorted(["o_totalprice", "o_orderpriority", "o_orderkey", "o_orderdate"]))
+    """Fields in name order and in their stored types, as rows are sealed."""
+    df = _t(spark, sf_dir, "lineitem")
+    return df.select(*schema.structured(df, ["l_quantity", "l_orderkey", "l_returnflag", "l_linenumber", "l_extendedprice"]))
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity, count(DISTINCT l_orderkey) AS orders
@@ -119,7 +116,7 @@ FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_linestatus = 'F' GROUP BY 1
 def q_rows_of_subsets(spark, sf_dir):
     """Registry, predicate on the registry, then rows of the chosen subsets."""
     li = _t(spark, sf_dir, "lineitem")
-    chosen = q_subset_registry(spark, sf_dir).filter(predicates.compile_predicates({"l_linestatus": "TEXT"}, {"l_linestatus": "F"})).filter(F.col("l_returnflag").isin("A", "R"))
+    chosen = li.select("l_returnflag", "l_linestatus").distinct().filter(predicates.compile_predicates({"l_linestatus": "TEXT"}, {"l_linestatus": "F"})).filter(F.col("l_returnflag").isin("A", "R"))
     rows = li.join(chosen, ["l_returnflag", "l_linestatus"], "left_semi")
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.count_distinct("l_orderkey").alias("orders"))
 
@@ -148,21 +145,22 @@ def q_parts_semi(spark, sf_dir):
     return _t(spark, sf_dir, "orders").join(chosen.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("""SELECT CASE WHEN c_custkey % 10 < 5 THEN 'insert' ELSE 'skip' END AS action, count(*) AS n FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1""")
-def q_fsck_orphans(spark, sf_dir):
-    """Customers as files, orders as parts, half the customers as known subsets."""
-    files = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_relpath"), F.col("c_custkey").alias("subset_uuid"))
-    held = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_relpath"))
-    known = files.filter(F.col("subset_uuid") % 10 < 5).select("subset_uuid")
-    return parts.orphans(files, held, known).groupBy("action").agg(F.count("*").alias("n"))
+@query("""SELECT c_custkey, CASE WHEN c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2) THEN 'insert' ELSE 'skip' END AS action FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+def q_orphans(spark, sf_dir):
+    """Customers as files, urgent orders as parts, nations of two regions as known subsets."""
+    files = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_relpath"), F.col("c_nationkey").alias("subset_uuid"))
+    held = _t(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("file_relpath"))
+    known = _t(spark, sf_dir, "nation").filter("n_regionkey < 2").select(F.col("n_nationkey").alias("subset_uuid"))
+    return parts.orphans(files, held, known).select(F.col("file_relpath").alias("c_custkey"), "action")
 
 
-@query("SELECT bid, producer_id, min(event_id) AS created_at FROM (SELECT event_id // 1000 AS bid, user_id % 3 AS producer_id, event_id FROM events) WHERE NOT (bid % 2 = 0 AND producer_id < 2) GROUP BY 1, 2")
+@query("SELECT user_id AS bid, event_type AS producer_id, min(event_id) AS created_at FROM events e WHERE NOT EXISTS (SELECT 1 FROM events l WHERE l.event_type = 'click' AND l.event_type = e.event_type AND l.user_id = e.user_id AND l.value > 10) GROUP BY 1, 2")
 def q_merge_unmerged(spark, sf_dir):
-    """Batches of a source that a target has not merged."""
-    batches = _t(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).alias("bid"), (F.col("user_id") % 3).alias("producer_id"), F.col("event_id")).groupBy("bid", "producer_id").agg(F.min("event_id").alias("created_at"))
-    log = batches.filter("bid % 2 = 0 and producer_id < 2").select("producer_id", "bid")
+    """Batches of a source that a target has not merged: its log holds the clicks of large value."""
+    events = _t(spark, sf_dir, "events").withColumnsRenamed({"user_id": "bid", "event_type": "producer_id"})
+    batches = events.groupBy("bid", "producer_id").agg(F.min("event_id").alias("created_at"))
+    log = events.filter("producer_id = 'click' and value > 10").select("producer_id", "bid").distinct()
     return parts.unmerged(batches, log)
 
 
@@ -236,31 +234,23 @@ def q_backlog(spark, sf_dir):
     return chunking.backlog(_payloads(spark, sf_dir))
 
 
-@query("SELECT event_id FROM events WHERE event_id % 3 = 0 AND epoch_us(ts) <= epoch_us(TIMESTAMP '2024-01-15')")
+@query("SELECT event_id FROM events WHERE event_type = 'error' AND epoch_us(ts) <= epoch_us(TIMESTAMP '2024-01-15')")
 def q_stale_claims(spark, sf_dir):
-    staged = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, "w").alias("claimed_by"), timeutil.epoch_us(F.col("ts")).alias("claimed_at"))
+    staged = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "error", "w").alias("claimed_by"), timeutil.epoch_us(F.col("ts")).alias("claimed_at"))
     return chunking.stale(staged, timeutil.to_epoch_us("2024-01-15")).select("event_id")
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as parts of customers, every seventh marked."""
-    return _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subset_uuid"), F.col("o_orderkey").alias("part_uuid"), (F.col("o_orderkey") % 100).alias("n_rows"), (F.col("o_orderkey") % 7 == 0).alias("marked_for_deletion"))
+    """Orders as parts of customers, the open ones marked."""
+    return _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subset_uuid"), F.col("o_orderkey").alias("part_uuid"), (F.col("o_orderkey") % 100).alias("n_rows"), (F.col("o_orderstatus") == "O").alias("marked_for_deletion"))
 
 
-@query("SELECT c_custkey AS subset_uuid, coalesce(sum(o_orderkey % 100) FILTER (WHERE o_orderkey % 7 <> 0), 0)::BIGINT AS live_rows FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@query("SELECT c_custkey AS subset_uuid, coalesce(sum(o_orderkey % 100) FILTER (WHERE o_orderstatus <> 'O'), 0)::BIGINT AS live_rows FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def q_gc_totals(spark, sf_dir):
     subsets = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subset_uuid"))
     return parts.live_rows(subsets, _manifest(spark, sf_dir))
 
 
-@query("SELECT o_orderpriority, count(*) AS n, count_if(o_totalprice < 50000)::BIGINT AS marked FROM orders GROUP BY 1")
-def q_soft_delete(spark, sf_dir):
-    """Marks by predicate and counts what changed per priority."""
-    hit = predicates.compile_predicates({"o_totalprice": "REAL"}, {"o_totalprice": (0.0, 49999.999999)})
-    df = _t(spark, sf_dir, "orders").withColumn("marked_for_deletion", hit)
-    return df.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if("marked_for_deletion").alias("marked"))
-
-
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the jagged list of their lines' quantities, in a defined order."""
     return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_quantity")).alias("seq")).withColumn("seq_len", jagged.length(F.col("seq")))
@@ -334,19 +324,36 @@ def q_text_functions(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", text.redacted(F.col("p_name")).alias("redacted"), text.ellipsized(F.col("p_name"), 12).alias("short"), text.aad(F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string")).alias("aad"))
 
 
-@query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 64")
-def q_peek(spark, sf_dir):
-    return chunking.keyset_page(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", None, 64)
-
-
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 50")
 def q_page(spark, sf_dir):
     return chunking.keyset_page(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500, 50)
 
 
-@query("SELECT page, count(*) AS n, min(o_orderkey) AS first_key FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 200 AS page FROM orders WHERE o_orderkey < 5000) GROUP BY 1")
+@query("SELECT page, count(*) AS n, min(o_orderkey) AS first_key FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 200 AS page FROM orders) GROUP BY 1")
 def q_fixed_pages(spark, sf_dir):
-    return chunking.pages(_t(spark, sf_dir, "orders").filter("o_orderkey < 5000"), ["o_orderkey"]).groupBy("page").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+    """All orders in pages of 200."""
+    return chunking.pages(_t(spark, sf_dir, "orders"), ["o_orderkey"]).groupBy("page").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+
+
+_ALL_OF_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY {_ALL_OF_LINE}) - 1 AS row_in_subset FROM lineitem")
+def q_line_numbers(spark, sf_dir):
+    """All columns of all lines, numbered within six large groups."""
+    return chunking.ordered_numbers(_t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], _ALL_OF_LINE.split(", "))
+
+
+@query(f"SELECT *, (row_number() OVER (ORDER BY {_ALL_OF_LINE}, l_returnflag, l_linestatus) - 1) // 200 AS page FROM lineitem")
+def q_line_pages(spark, sf_dir):
+    """All columns of all lines in pages of 200."""
+    return chunking.pages(_t(spark, sf_dir, "lineitem"), [*_ALL_OF_LINE.split(", "), "l_returnflag", "l_linestatus"])
+
+
+@query(f"SELECT *, sum(l_linenumber) OVER (ORDER BY {_ALL_OF_LINE}, l_returnflag, l_linestatus ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM lineitem")
+def q_line_sums(spark, sf_dir):
+    """All columns of all lines with a running sum over all of them."""
+    return chunking.running_sum(_t(spark, sf_dir, "lineitem"), [*_ALL_OF_LINE.split(", "), "l_returnflag", "l_linestatus"], F.col("l_linenumber"), "upto")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
@@ -416,21 +423,21 @@ def q_in_edges(spark, sf_dir):
     return graph.in_edges(_edges(spark, sf_dir)).select("dst", F.array_join("srcs", ",").alias("srcs"))
 
 
-@query(f"""WITH e AS {_EDGES}, s AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey < 20),
-k AS (SELECT DISTINCT src AS id FROM e UNION SELECT dst FROM e WHERE length(dst) % 2 = 0)
+@query(f"""WITH e AS {_EDGES}, s AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT'),
+k AS (SELECT DISTINCT src AS id FROM e UNION SELECT 'p' || p_partkey FROM part WHERE p_size > 25)
 SELECT DISTINCT id FROM (SELECT id FROM s UNION SELECT dst FROM e JOIN s ON src = id UNION SELECT src FROM e JOIN s ON dst = id) WHERE id IN (SELECT id FROM k)""")
 def q_neighborhood(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    seeds = _t(spark, sf_dir, "orders").filter("o_orderkey < 20").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
-    known = e.select(F.col("src").alias("id")).union(e.filter(F.length("dst") % 2 == 0).select(F.col("dst").alias("id"))).distinct()
+    seeds = _t(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
+    known = e.select(F.col("src").alias("id")).union(_t(spark, sf_dir, "part").filter("p_size > 25").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"))).distinct()
     return graph.neighborhood(seeds, e, known)
 
 
-@query(f"""WITH e AS (SELECT DISTINCT src, dst FROM {_EDGES}), d AS (SELECT src, 'new' AS dst FROM (SELECT DISTINCT src FROM e) WHERE length(src) = 3)
+@query(f"""WITH e AS (SELECT DISTINCT src, dst FROM {_EDGES}), d AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'new' AS dst FROM lineitem WHERE l_returnflag = 'R')
 SELECT src, dst FROM e WHERE src NOT IN (SELECT src FROM d) UNION ALL SELECT src, dst FROM d""")
 def q_merge_edges(spark, sf_dir):
     e = _edges(spark, sf_dir).distinct()
-    delta = e.select("src").distinct().filter(F.length("src") == 3).withColumn("dst", F.lit("new"))
+    delta = _t(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("src"), F.lit("new").alias("dst")).distinct()
     return graph.merge_edges(e, delta)
 
 
@@ -451,10 +458,12 @@ def q_by_top_directory(spark, sf_dir):
     return graph.by_top_directory(pages).select("top", "n")
 
 
-@query("SELECT k, max(ts) AS stamp FROM (SELECT user_id AS k, ts FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, ts FROM events WHERE event_id % 3 = 0) GROUP BY 1")
+@query("SELECT k, max(ts) AS stamp FROM (SELECT user_id AS k, ts FROM events WHERE event_type IN ('view', 'click') UNION ALL SELECT user_id, ts FROM events WHERE event_type NOT IN ('view', 'click')) GROUP BY 1")
 def q_upsert_stamps(spark, sf_dir):
-    ev = _t(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("path"), F.col("ts").alias("stamp"))
-    return graph.upsert_stamps(ev.filter("event_id % 2 = 0"), ev.filter("event_id % 3 = 0")).withColumnRenamed("path", "k")
+    """Views and clicks as the base, all other events as the delta."""
+    ev = _t(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("path"), F.col("ts").alias("stamp"))
+    base = F.col("event_type").isin("view", "click")
+    return graph.upsert_stamps(ev.filter(base), ev.filter(~base)).withColumnRenamed("path", "k")
 
 
 @query("SELECT l_orderkey, row::INTEGER AS row, q, p FROM (SELECT l_orderkey, unnest(range(len(qs))) AS row, unnest(qs) AS q, unnest(ps) AS p FROM (SELECT l_orderkey, list(l_quantity ORDER BY l_quantity) AS qs, list(l_extendedprice ORDER BY l_extendedprice) AS ps FROM lineitem GROUP BY 1))")
@@ -470,12 +479,27 @@ def q_length_width(spark, sf_dir):
     return longest.withColumn("width", jagged.width(F.col("longest")))
 
 
-@query("""SELECT o_custkey, count(*) AS n_rows, min(n)::INTEGER AS min_0, max(n)::INTEGER AS max_0, avg(n) AS avg_0 FROM (SELECT o_custkey, o_orderkey, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY 1""")
+@query("""SELECT o_custkey, count(*) AS n_rows, min(n)::INTEGER AS min_0, max(n)::INTEGER AS max_0, avg(n) AS avg_0, min(m)::INTEGER AS min_1, max(m)::INTEGER AS max_1, avg(m) AS avg_1
+FROM (SELECT o_custkey, o_orderkey, count(*) AS n, max(CASE WHEN l_quantity > 25 THEN 2 ELSE 1 END) AS m FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY 1""")
 def q_shape_stats(spark, sf_dir):
-    """Statistics of a first dimension; nested arrays of lines by order."""
+    """Statistics of both dimensions of nested arrays: lines by order, each one or two numbers."""
+    return parts.shape_stats(_grids(spark, sf_dir).withColumn("shape", jagged.shape(F.col("a"), 2)), ["o_custkey"], "shape", 2)
+
+
+def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    nested = joined.groupBy("o_custkey", "o_orderkey").agg(F.collect_list(F.array("l_quantity")).alias("a")).withColumn("shape", jagged.shape(F.col("a"), 2))
-    return parts.shape_stats(nested, ["o_custkey"], "shape", 1)
+    rows = F.when(F.col("l_quantity") > 25, F.array(F.col("l_quantity"), F.col("l_quantity") + 1)).otherwise(F.array("l_quantity"))
+    return joined.groupBy("o_custkey", "o_orderkey").agg(F.sort_array(F.collect_list(rows)).alias("a"))
+
+
+@query("""SELECT o_orderkey, n::INTEGER AS size_0, 2 AS size_1, 12 AS least_0, total FROM (SELECT o_orderkey, count(*) AS n, sum(CASE WHEN l_quantity > 25 THEN 2 * l_quantity + 1 ELSE l_quantity END) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)""")
+def q_jagged_pad_nested(spark, sf_dir):
+    """Nested arrays padded to canonical extents: outer rows added, inner ones filled with zeros."""
+    from pyspark.sql import types as T
+
+    padded = _grids(spark, sf_dir).withColumn("p", jagged.pad(F.col("a"), [20, 2], T.DoubleType()))
+    own = padded.select("o_orderkey", F.size("a").alias("size_0"), F.array_min(F.transform("p", lambda x: F.size(x))).alias("size_1"), F.when(F.size("p") == 20, 12).alias("least_0"), F.aggregate(F.flatten("p"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return own
 
 
 @query("SELECT url FROM pages WHERE NOT (url LIKE '%.html' OR url LIKE 'http://%')")
@@ -483,20 +507,20 @@ def q_glob_ignore(spark, sf_dir):
     return _t(spark, sf_dir, "pages").filter(predicates.not_ignored(F.col("url"), ["*.html", "http://*"])).select("url")
 
 
-@query("""WITH b AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0), d AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 3 = 0 AND c_nationkey < 5)
+@query("""WITH b AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'), d AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 5)
 SELECT 'c' || c_custkey AS fqid, 'n' || c_nationkey AS source_path FROM b WHERE c_nationkey NOT IN (SELECT c_nationkey FROM d) UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM d""")
 def q_merge_nodes(spark, sf_dir):
     """Delta nodes replace all nodes of their sources."""
-    n = _t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("fqid"), F.concat(F.lit("n"), "c_nationkey").alias("source_path"), "c_custkey", "c_nationkey")
+    n = _t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("fqid"), F.concat(F.lit("n"), "c_nationkey").alias("source_path"), "c_mktsegment", "c_nationkey")
     pick = lambda df: df.select("fqid", "source_path")
-    return graph.merge_nodes(pick(n.filter("c_custkey % 3 <> 0")), pick(n.filter("c_custkey % 3 = 0 and c_nationkey < 5")))
+    return graph.merge_nodes(pick(n.filter("c_mktsegment <> 'BUILDING'")), pick(n.filter("c_mktsegment = 'BUILDING' and c_nationkey < 5")))
 
 
-@query("""WITH e AS (SELECT 'u' || user_id AS src, 'u' || (event_id % 100) AS dst FROM events), k AS (SELECT 'u' || c_custkey AS f FROM customer WHERE c_custkey < 50)
+@query("""WITH e AS (SELECT 'u' || user_id AS src, 'u' || (user_id * 7 % 997) AS dst FROM events), k AS (SELECT 'u' || c_custkey AS f FROM customer WHERE c_mktsegment <> 'MACHINERY')
 SELECT src, dst, 'unknown source' AS reason FROM e WHERE src NOT IN (SELECT f FROM k) UNION ALL SELECT src, dst, 'unknown target' FROM e WHERE dst NOT IN (SELECT f FROM k) UNION ALL SELECT src, dst, 'calls itself' FROM e WHERE src = dst""")
 def q_bad_calls(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("src"), F.concat(F.lit("u"), F.col("event_id") % 100).alias("dst"))
-    n = _t(spark, sf_dir, "customer").filter("c_custkey < 50").select(F.concat(F.lit("u"), "c_custkey").alias("fqid"))
+    e = _t(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("src"), F.concat(F.lit("u"), F.col("user_id") * 7 % 997).alias("dst"))
+    n = _t(spark, sf_dir, "customer").filter("c_mktsegment <> 'MACHINERY'").select(F.concat(F.lit("u"), "c_custkey").alias("fqid"))
     return graph.bad_calls(e, n)
 
 
@@ -507,30 +531,40 @@ def q_latest_notes(spark, sf_dir):
     return graph.latest_notes(modules, 20)
 
 
-@query("""SELECT o_orderkey AS path, CASE WHEN o_orderkey % 2 = 0 AND (CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END) <= 2 THEN 'F' ELSE o_orderstatus END AS status FROM orders""")
+@query("""SELECT o_orderkey AS path, CASE WHEN o_orderpriority = '5-LOW' AND (CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END) <= 2 THEN 'F' ELSE o_orderstatus END AS status FROM orders""")
 def q_advance_status(spark, sf_dir):
-    """Every second order is set to F, which never takes a later status back."""
-    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("status"))
-    return graph.advance_status(rows, rows.filter("path % 2 = 0").withColumn("status", F.lit("F")), ["O", "F", "P"])
+    """Orders of low priority are set to F, which never takes a later status back."""
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("status"), "o_orderpriority")
+    return graph.advance_status(rows, rows.filter("o_orderpriority = '5-LOW'").withColumn("status", F.lit("F")), ["O", "F", "P"])
 
 
-@query("SELECT user_id, event_type FROM events WHERE event_id % 2 = 0 INTERSECT SELECT user_id, event_type FROM events WHERE event_id % 3 = 0")
+@query("SELECT user_id FROM events WHERE event_type = 'error' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 50")
 def q_set_intersect(spark, sf_dir):
+    """Users with an error that also made a large purchase, once each."""
     ev = _t(spark, sf_dir, "events")
-    return ev.filter("event_id % 2 = 0").select("user_id", "event_type").intersect(ev.filter("event_id % 3 = 0").select("user_id", "event_type"))
+    return parts.in_both(ev.filter("event_type = 'error'"), ev.filter("event_type = 'purchase' and value > 50"), ["user_id"])
 
 
 @query("SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer")
 def q_set_touched(spark, sf_dir):
     """Touched or marked subsets, once each."""
-    return _t(spark, sf_dir, "orders").select("o_custkey").union(_t(spark, sf_dir, "customer").select("c_custkey")).distinct()
+    marked = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return parts.in_either(_t(spark, sf_dir, "orders"), marked, ["o_custkey"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE 'o' || o_orderkey NOT IN (SELECT 'o' || l_orderkey FROM lineitem)")
+def q_without_calls(spark, sf_dir):
+    """Orders, as functions with a body, that call no part."""
+    nodes = _t(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("o"), "o_orderkey").alias("fqid"), F.lit(True).alias("has_body"))
+    return graph.without_calls(nodes, _edges(spark, sf_dir)).select("o_orderkey")
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_name) <= 8 THEN p_name ELSE p_name[1:5] || chr(10) || '…' || chr(10) || p_name[-3:] END AS trimmed, replace(p_brand || '|' || p_type, '|', chr(92) || '|') AS cell FROM part")
+def q_trimmed_cells(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", text.trimmed(F.col("p_name"), 5, 3).alias("trimmed"), text.table_cell(F.concat_ws("|", "p_brand", "p_type")).alias("cell"))
 
 
-@query("SELECT user_id AS subset_uuid, count(*) AS n FROM events GROUP BY 1")
-def q_affinity_routing(spark, sf_dir):
-    """Rows of a subset go to one writer: no subset is seen by two."""
-    from keyloft.streaming.ingest import route
+from keyloft.plans import store_queries  # noqa: E402
 
-    routed = _t(spark, sf_dir, "events").select(F.col("user_id").alias("subset_uuid")).withColumn("w", route())
-    once = routed.groupBy("subset_uuid").agg(F.count("*").alias("n"), F.count_distinct("w").alias("writers"))
-    return once.filter("writers = 1").drop("writers")
+QUERIES |= store_queries.QUERIES
+ORACLE |= store_queries.ORACLE

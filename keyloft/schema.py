@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloft.errors import SchemaMismatch
+from keyloft.errors import SchemaMismatch, named
 
 NAME = re.compile(r"[A-Za-z0-9_]+")
 #: Columns of the subset table that no key may be called.
@@ -27,6 +27,11 @@ def safe_name(name: str) -> str:
     return name
 
 
+def is_safe(name: Column) -> Column:
+    """Whether a text would do as a name."""
+    return name.rlike("^[A-Za-z0-9_]+$")
+
+
 def key_type(kind: T.DataType) -> str:
     """BOOLEAN, INTEGER, REAL or TEXT."""
     found = _KEY_TYPES.get(type(kind))
@@ -76,17 +81,22 @@ def structured(df: DataFrame, fields: list[str], stored: dict[str, T.DataType] |
         bad = F.col(name).isNull()
         if isinstance(kind, T.StringType):
             bad |= F.length(col) > MAX_TEXT
-        out.append(F.when(bad, F.raise_error(F.concat(F.lit(f"field {name}: null, or longer than {MAX_TEXT}: "), F.coalesce(F.substring(col.cast("string"), 1, 20), F.lit("null")))).cast(kind)).otherwise(col).alias(name))
+        out.append(F.when(bad, F.raise_error(F.concat(F.lit(named(SchemaMismatch, f"field {name}: null, or longer than {MAX_TEXT}: ")), F.coalesce(F.substring(col.cast("string"), 1, 20), F.lit("null")))).cast(kind)).otherwise(col).alias(name))
     return out
 
 
+def depth(kind: T.DataType) -> int:
+    """Dimensions of a field: 0 for a plain one."""
+    return 1 + depth(kind.elementType) if isinstance(kind, T.ArrayType) else 0
+
+
 def canonical_json(schema: dict) -> str:
     return json.dumps(schema, sort_keys=True, separators=(",", ":"))
 
 
 def fingerprint(schema: dict) -> str:
-    """SHA-256 of the canonical JSON."""
-    return hashlib.sha256(canonical_json(schema).encode()).hexdigest()
+    """SHA-256 of the canonical JSON; the canonical extents of jagged fields, which grow by rebuilding, are left out."""
+    return hashlib.sha256(canonical_json({k: v for k, v in schema.items() if k != "canonical"}).encode()).hexdigest()
 
 
 def field_json(fields: dict[str, T.DataType]) -> list[dict]:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from keyloft.scratch import Scratch
 from keyloft.sources.store import Store
+from keyloft.streaming.staging import Staging
 
 
 def stream_into(store: Store, alias: str, stream: DataFrame, keys: list[str], order: list[str], checkpoint: str, part_rows: int = 100_000, compact_every: int = 0, **trigger) -> StreamingQuery:
@@ -46,14 +49,32 @@ def compute(tasks: DataFrame, worker: Callable[..., pd.DataFrame], schema: str,
     return tasks.mapInPandas(run, f"{schema}, error string")
 
 
-def ingest(store: Store, alias: str, tasks: DataFrame, worker: Callable[..., pd.DataFrame], schema: str, keys: list[str], order: list[str], part_rows: int = 100_000, raise_on_error: bool = True) -> dict[str, int]:
-    """Runs worker over tasks and seals what it makes, as one job; counts of tasks, rows and errors."""
-    made = store._save(compute(tasks, worker, schema, raise_on_error), f"{store.catalog.folder(alias) if alias in store.catalog.aliases() else 'staging'}/data/_ingest-{store.catalog.now()}")
+def ingest(store: Store, alias: str, tasks: DataFrame, worker: Callable[..., pd.DataFrame], schema: str, keys: list[str], order: list[str], part_rows: int = 100_000, raise_on_error: bool = True, staged: bool = False, writers: int | None = None) -> dict[str, int]:
+    """Runs worker over tasks and seals what it makes, as one job; counts of tasks, rows and errors.
+
+    With staged, rows wait as payloads by subset and are claimed and sealed part by part until nothing waits; with writers,
+    one of so many tasks writes all payloads of a subset. Without, all rows are sealed in one append.
+    """
+    scratch = Scratch(store.spark, "ingest")
+    made = scratch.save(compute(tasks, worker, schema, raise_on_error), "made")
     good = made.filter("error is null").drop("error")
-    store.append(alias, good, keys, order, part_rows)
-    return {"tasks": tasks.count(), "rows": good.count(), "errors": made.filter("error is not null").count()}
+    counts = {"tasks": tasks.count(), "rows": good.count(), "errors": made.filter("error is not null").count()}
+    if not staged:
+        store.append(alias, good, keys, order, part_rows)
+    elif counts["rows"]:
+        staging = Staging(store, alias, keys, order)
+        staging.enqueue(good, writers)
+        staging.drain(f"ingest-{uuid.uuid4().hex}", part_rows)
+    scratch.drop(made)
+    return counts
 
 
-def route(subset_uuid: str = "subset_uuid", writers: int = 4):
-    """Writer of a subset: all its rows go to one."""
-    return F.pmod(F.xxhash64(subset_uuid), F.lit(writers)).cast("int")
+def bounded_stream(spark: SparkSession, path: str, schema: StructType | str, files: int | None = None, size: str | None = None, format: str = "parquet") -> DataFrame:
+    """A stream over the files of a folder that takes at most so many files, or bytes ("512m"), into one micro-batch.
+
+    This is the back-pressure of an ingest: what waits stays where it is.
+    """
+    reader = spark.readStream.schema(schema).format(format)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
+    reader = reader.option("maxBytesPerTrigger", size) if size else reader
+    return reader.load(path)

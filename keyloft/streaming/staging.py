@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloft.operators import chunking
-from keyloft.sources.catalog import Snapshot
+from keyloft.sources.catalog import Added, Snapshot
 from keyloft.sources.store import Store
 
 STALE_S = 1800
 
 
+def route(subset_uuid: str = "subset_uuid", writers: int = 4) -> Column:
+    """Writer of a subset: all its rows go to one."""
+    return F.pmod(F.xxhash64(subset_uuid), F.lit(writers)).cast("int")
+
+
 class Staging:
     def __init__(self, store: Store, alias: str, keys: list[str], order: list[str]):
         self.store, self.alias, self.keys, self.order = store, alias, keys, order
@@ -30,19 +35,25 @@ class Staging:
         catalog = self.store.catalog
         catalog.commit(self.alias, lambda head: (head.schema, {"staging": build(self.table(head))}, {"op": op}))
 
-    def enqueue(self, df: DataFrame) -> None:
-        """Adds the rows of df, one payload per subset, in a folder of their own."""
+    def enqueue(self, df: DataFrame, writers: int | None = None) -> None:
+        """Adds the rows of df, one payload per subset, in a folder of their own.
+
+        With writers, all rows of a subset are written by one of so many tasks.
+        """
         catalog = self.store.catalog
         rel = f"{catalog.folder(self.alias)}/staged/{uuid.uuid4().hex}"
-        rows = self.store._save(df.withColumn("_subset", F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in self.keys])), rel)
-        sizes = rows.groupBy("_subset").agg(F.count("*").alias("n_rows"))
-
-        def add(held: DataFrame) -> DataFrame:
-            top = held.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-            numbered = sizes.withColumn("id", F.row_number().over(Window.orderBy("_subset")) + F.lit(top))
-            return held.unionByName(numbered.select(F.col("id").cast("long"), F.col("_subset").alias("subset_uuid"), "n_rows", F.lit(catalog.now()).alias("created_at_epoch"), F.lit(rel).alias("payload"), F.lit(None).cast("string").alias("claimed_by"), F.lit(None).cast("long").alias("claimed_at")))
-
-        self._change(add, "stage")
+        keyed = df.withColumn("_subset", F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in self.keys]))
+        if writers:
+            keyed = keyed.withColumn("_w", route("_subset", writers)).repartition(writers, "_w").drop("_w")
+        rows = self.store._save(keyed, rel)
+        sizes = chunking.ordered_numbers(rows.groupBy("_subset").agg(F.count("*").alias("n_rows")), [], ["_subset"])
+
+        def add(head: Snapshot):
+            top = self.table(head).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+            added = sizes.select((F.col("row_in_subset") + 1 + F.lit(top)).cast("long").alias("id"), F.col("_subset").alias("subset_uuid"), "n_rows", F.lit(catalog.now()).alias("created_at_epoch"), F.lit(rel).alias("payload"), F.lit(None).cast("string").alias("claimed_by"), F.lit(None).cast("long").alias("claimed_at"))
+            return head.schema, {"staging": Added(added)}, {"op": "stage"}
+
+        catalog.commit(self.alias, add)
 
     def claim(self, owner: str, part_rows: int) -> DataFrame:
         """Marks, per subset, the longest prefix of unclaimed payloads of part_rows rows at most (or the first alone)."""

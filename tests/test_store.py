@@ -156,7 +156,7 @@ def test_views_peek_rebuild_vacuum(spark, tmp_path):
     assert s.list_nodes().count() == 1 and s.list_subsets("d").count() == 2
     assert s.list_parts("d", part.subset_uuid).count() == 2 and s.show_batch("d", "b").count() == 4
     assert s.tail_batches("d").count() == 1
-    s.rebuild("d", "coarse", {"temp": 0.1}, ORDER)
+    s.rebuild("d", "coarse", ORDER, {"temp": 0.1})
     assert s.meta("coarse").subsets.count() == 1 and s.data(s.meta("coarse")).rows.count() == 25
     s.catalog.vacuum("d", 0)
     assert s.data(s.meta("d")).rows.count() == 25 and s.audit("d")["missing_files"] == 0
