@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloft.scratch import Scratch, shared_dir  # noqa: F401  (used by the operators)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,10 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Setting for the rows that go to Python at once. Texts are long, so its default is lowered; a user's own value is kept.
-ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def tidy(batches, keep: tuple[str, ...] = ()):
     """The same batches; what other operators left in the worker goes first, unused memory goes back to the system last."""
     store = worker_store()
@@ -58,85 +51,31 @@ def map_arrow(df: DataFrame, run, schema, keep: tuple[str, ...] = ()) -> DataFra
     return df.mapInArrow(lambda batches: tidy(run(batches), keep), schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local session may go without the setting; it gets a temporary folder. On a cluster a missing setting is an
-    error, because a machine's own folder is lost with the machine.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    held = worker_store()
-    if "own_dir" not in held:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        held["own_dir"] = tempfile.mkdtemp(prefix="keyloft-")
-        atexit.register(shutil.rmtree, held["own_dir"], ignore_errors=True)
-    return "file://" + held["own_dir"]
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors.
-
-    ``save`` writes and rereads a DataFrame, ``drop`` deletes a table that nothing reads any more. What is left goes
-    when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/keyloft/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-        if spark.conf.get(ROWS_PER_BATCH) == "10000":
-            spark.conf.set(ROWS_PER_BATCH, "1000")
-        atexit.register(self._delete, self.root)
-
-    def path(self, label: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{label}"
-
-    def save(self, df: DataFrame, label: str) -> DataFrame:
-        path = self.path(label)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes the table of a DataFrame that ``save`` returned; others are left alone."""
-        if path := getattr(df, "_scratch_path", None):
-            self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        try:
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended; the folder is only scratch
-            if path.startswith("file:"):
-                shutil.rmtree(path[5:] if not path.startswith("file://") else path[7:], ignore_errors=True)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body names it."""
     return F.transform(F.array(value), body)[0]
 
 
-#: Words of 64 bits in the bitmap of ``semi_join``.
+#: Words of 64 bits in the bitmap of ``maybe_among``.
 BITMAP_WORDS = 1 << 16
 
 
-def semi_join(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is among ids, where ids are few beside the rows: most other rows go before the shuffle.
+def maybe_among(rows: DataFrame, ids: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be among ids, and the rest, whose key is not; nothing is shuffled.
 
-    A bitmap of hashed ids, BITMAP_WORDS rows at most, is broadcast first; what passes it is joined exactly.
+    A bitmap of hashed ids, BITMAP_WORDS rows at most, is broadcast. Many more ids than it has bits fill it, and then
+    most rows pass.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(64 * BITMAP_WORDS))
+    place = F.pmod(F.xxhash64(*key), F.lit(64 * BITMAP_WORDS))
     word, bit = F.floor(place / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-    bitmap = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    near = rows.join(F.broadcast(bitmap), (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi")
-    return near.join(ids, key, "left_semi")
+    bitmap = F.broadcast(ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    hit = (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0)
+    return rows.join(bitmap, hit, "left_semi"), rows.join(bitmap, hit, "left_anti")
+
+
+def semi_join(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ids, where ids are few beside the rows: most other rows go before the shuffle."""
+    return maybe_among(rows, ids, key)[0].join(ids, key, "left_semi")
 
 
 def lower_ascii(text: Column) -> Column:
@@ -153,7 +92,3 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def env_path(name: str) -> str:
-    return os.path.join(os.environ.get("KEYLOFT_TOKENIZERS", os.path.dirname(tokenizer_path(name))), name)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloft.llm.common import Scratch, env_path, map_arrow, table
+from keyloft.llm.common import Scratch, tokenizer_path, map_arrow, table
 from keyloft.llm.tokens import SHARED, Encoder
 
 #: Pieces (or open bins) that one task packs.
@@ -104,7 +104,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
 
     Returns one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A document is its token ids
     and then end_id; only those longer than capacity are cut. A null or empty text is the end id alone. Repeated rows and
-    null doc_ids are packed like any other row; other columns are ignored.
+    null doc_ids are packed like any other row; other columns are ignored. A text of any length is tokenized whole. An empty
+    table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     cut = scratch.save(pieces(docs, tokenizer, capacity, end_id), "pieces")
@@ -122,4 +123,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 word-BPE tokens."""
-    return pack(table(spark, sf_dir, "documents"), env_path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))

@@ -56,7 +56,8 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     Size is the UTF-8 bytes of the text plus 8; a null text counts as an empty one, of the same group. Equal texts share a
     shard, so a group larger than a mean shard makes its shard that large. Slots number the rows of a shard from 0 without
-    gaps, by doc_id within hash buckets. Null or repeated doc_ids are rows like others; other columns are ignored.
+    gaps, by doc_id within hash buckets. Null or repeated doc_ids are rows like others; other columns are ignored. A text of
+    any length is hashed whole, as one cell. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")

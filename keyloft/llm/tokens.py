@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloft.llm.common import env_path, map_arrow, table, worker_store
+from keyloft.llm.common import tokenizer_path, map_arrow, table, worker_store
 
-#: Characters of a text that are taken up at once; bytes that one call encodes; units that a worker remembers; longest of them.
+#: Characters of a text's segment, 16 times as many bytes are taken up at once; bytes that one call encodes; units that a worker remembers; longest of them.
 SEGMENT, CALL_BYTES, REMEMBER, LONGEST = 1 << 16, 1 << 18, 300_000, 64
 
 SHARED = ("tokenizer", "units", "ends")
@@ -85,6 +85,11 @@ def _is_latin(text: str) -> bool:
     return True
 
 
+def octets(text: str) -> int:
+    """UTF-8 bytes of a text."""
+    return len(text) if text.isascii() else len(text.encode())
+
+
 UNITS = {"byte_bpe_50k.json": byte_units, "word_bpe_49k.json": word_units}
 
 
@@ -126,7 +131,8 @@ class Encoder:
             call: list[str] = []
             size = 0
             for u in [*group, None]:
-                if call and (u is None or size + len(u) > CALL_BYTES):
+                n = 0 if u is None else octets(u)
+                if call and (u is None or size + n > CALL_BYTES):
                     if plain:
                         self.encode_joined(call)
                     else:
@@ -136,7 +142,7 @@ class Encoder:
                     call, size = [], 0
                 if u is not None:
                     call.append(u)
-                    size += len(u)
+                    size += n
         return brief
 
     def encode_joined(self, call: list[str]) -> None:
@@ -157,8 +163,8 @@ class Encoder:
         at = 0
         while at < len(texts):
             to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= 16 * SEGMENT):
-                size += len(texts[to])
+            while to < len(texts) and (to == at or size + octets(texts[to]) <= 16 * SEGMENT):
+                size += octets(texts[to])
                 to += 1
             cut = [[self.units(s) for s in segments(t)] if t else [] for t in texts[at:to]]
             seen = {u for parts in cut for units in parts for u in units}
@@ -178,7 +184,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     """doc_id, n_bytes, n_tokens, over_limit of every row: the tokens of the whole text, without added special tokens.
 
     tokenizer is the path of a tokenizers JSON file. A null text counts as empty; repeated rows are counted each; other
-    columns are ignored; special strings inside a text become their special token, as is the library's default.
+    columns are ignored; special strings inside a text become their special token, as is the library's default. A text of
+    any length is counted whole, segment by segment. An empty table gives an empty result.
     """
 
     def run(batches):
@@ -197,4 +204,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE token counts of all documents."""
-    return count_tokens(table(spark, sf_dir, "documents"), env_path("byte_bpe_50k.json"))
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
