@@ -1,8 +1,8 @@
 """Quality classifier: ridge regression on random Fourier features of document statistics, calibrated by isotonic regression.
 
 Statistics of a text become about thirty numbers. Random Fourier features of the standardized numbers approximate a
-Gaussian kernel, so ridge regression on them is a linear problem: a fixed number of tasks sum the normal equations over
-all labelled rows, by fold, and the driver solves one small system per fold. Scores of rows outside the fold they were
+Gaussian kernel, so ridge regression on them is a linear problem: every task sums the normal equations of its labelled
+rows by fold, a few tasks add those sums up, and the driver solves one small system per fold. Scores of rows outside the fold they were
 fitted on, counted per bin of the score, are the ground of a monotone calibration.
 """
 
@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloft.llm.common import Scratch, map_arrow, table
+from keyloft.llm.common import Scratch, map_arrow, maybe_among, table
 
-#: Random features; width of the Gaussian kernel in standard deviations of a statistic; ridge; folds; tasks that sum.
-FEATURES, WIDTH, RIDGE, FOLDS, SUM_TASKS = 192, 6.0, 1e-3, 4, 32
+#: Random features; width of the Gaussian kernel in standard deviations of a statistic; ridge; folds; tasks that add up the sums of all others.
+FEATURES, WIDTH, RIDGE, FOLDS, SUM_TASKS = 192, 6.0, 1e-3, 4, 8
 #: Bins of raw scores over [-0.5, 1.5] for calibration.
 BINS = 512
 
@@ -105,6 +105,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """doc_id, y: the mean label of each document that may be learned from; null ids and null labels are left out."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
+    known = known.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
+    return known.groupBy("doc_id").agg(F.avg("quality").alias("y"))
+
+
 class QualityModel:
     """Fitted on statistics (document_statistics) and labels (doc_id, quality); scores statistics."""
 
@@ -115,9 +122,8 @@ class QualityModel:
         """
         self.features, self.width, self.seed = features, width, seed
         scratch = Scratch(x.sparkSession, "quality")
-        known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").cast("double").alias("y"))
-        rows = x.join(known.filter(~held_out(F.col("doc_id"))), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int"))
-        rows = scratch.save(rows.repartition(SUM_TASKS), "labelled")
+        rows = x.join(learnable(labels), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int"))
+        rows = scratch.save(rows, "labelled")
         stats = rows.agg(F.count("*").alias("n"), F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(N_STATISTICS)]).alias("mean"), F.array(*[F.stddev_pop(F.get("x", F.lit(i))) for i in range(N_STATISTICS)]).alias("std")).first()
         self.weights = None
         if not stats.n:
@@ -130,31 +136,42 @@ class QualityModel:
         by_fold = {f: solve(total - g) if len(grams) > 1 else solve(g) for f, g in grams.items()}
         self.weights = solve(total)
         self._calibrate(rows, by_fold)
+        scratch.drop(rows)
 
     def _z(self, x: np.ndarray) -> np.ndarray:
         return fourier(x, self.mean, self.scale, self.features, self.width, self.seed)
 
     def _normal_equations(self, rows: DataFrame, folds: int) -> dict[int, np.ndarray]:
-        """Sums of [z y]' [z y] by fold: one from each of SUM_TASKS tasks, added up on the driver."""
+        """Sums of [z y]' [z y] by fold: of each task, then of SUM_TASKS tasks that add those, then on the driver."""
         size, z_of = self.features + 2, self._z
+        kinds = pa.schema([("fold", pa.int32()), ("sums", pa.binary())])
 
-        def run(batches):
-            sums = np.zeros((folds, size, size))
+        def table_of(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"fold": list(sums), "sums": [s.tobytes() for s in sums.values()]}, schema=kinds)
+
+        def sum_rows(batches):
+            sums: dict[int, np.ndarray] = {}
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
                     z = np.hstack([z_of(_matrix(part.column("x"))), part.column("y").to_numpy()[:, None]])
                     fold = part.column("fold").to_numpy()
-                    for f in range(folds):
+                    for f in np.unique(fold).tolist():
                         own = z[fold == f]
-                        sums[f] += own.T @ own
-            yield pa.RecordBatch.from_pydict({"fold": pa.array(range(folds), pa.int32()), "sums": pa.array([s.tobytes() for s in sums], pa.binary())})
+                        sums[f] = sums.get(f, 0) + own.T @ own
+            yield table_of(sums)
 
+        def add(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for f, own in zip(batch.column("fold").to_pylist(), batch.column("sums")):
+                    sums[f] = sums.get(f, 0) + np.frombuffer(own.as_buffer()).reshape(size, size)
+            yield table_of(sums)
+
+        by_task = map_arrow(rows.select("x", "y", "fold"), sum_rows, "fold int, sums binary")
         out: dict[int, np.ndarray] = {}
-        for r in map_arrow(rows.select("x", "y", "fold").coalesce(SUM_TASKS), run, "fold int, sums binary").collect():  # SUM_TASKS * folds rows
-            own = np.frombuffer(r.sums).reshape(size, size)
-            if own[-2, -2]:
-                out[r.fold] = out.get(r.fold, 0) + own
+        for r in map_arrow(by_task.repartition(SUM_TASKS), add, "fold int, sums binary").collect():  # SUM_TASKS * folds rows at most
+            out[r.fold] = out.get(r.fold, 0) + np.frombuffer(r.sums).reshape(size, size)
         return out
 
     def _calibrate(self, rows: DataFrame, by_fold: dict[int, np.ndarray]) -> None:
@@ -193,9 +210,12 @@ class QualityModel:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns, whose score reaches the threshold; learned from their own labelled part."""
-    scratch = Scratch(docs.sparkSession, "statistics")
-    model = QualityModel(scratch.save(document_statistics(docs), "statistics"), labels)
+    """The rows of docs, all columns, whose score reaches the threshold; learned from their own labelled part.
+
+    Statistics for learning are taken of rows that may be labelled alone; all rows are scored as they pass.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = QualityModel(document_statistics(maybe_among(keyed, learnable(labels), "doc_id")[0]), labels)
 
     def run(batches):
         for batch in batches:
@@ -211,7 +231,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
     """doc_id, held_out, score, predicted for every row of docs.
 
     The whole text decides alone; a null text scores like an empty one. Rows of null or repeated doc_ids are scored like
-    others; other columns are ignored; without labels every score is 0.5; an empty table gives an empty result.
+    others; other columns are ignored; without labels every score is 0.5; an empty table gives an empty result. Texts of any
+    length are read whole, one cell at a time.
     """
     x = Scratch(docs.sparkSession, "statistics").save(document_statistics(docs), "statistics")
     rows = QualityModel(x, labels).score(x)
