@@ -125,13 +125,14 @@ def quality_rules(docs: DataFrame, whole: bool = False) -> DataFrame:
 
     Null or blank texts have no words and fail the base rules. Documents of null or unlisted languages share one reference
     of character classes and are not judged by words. Repeated rows are judged each; other columns are ignored; an empty
-    table gives an empty result. With whole, column row holds the document's own columns.
+    table gives an empty result; a text of any length is read whole, as one cell. Windows are told apart by 64-bit hashes, so
+    two different ones of a text of n words meet with a chance below n * n / 2**65. With whole, column row holds the
+    document's own columns.
     """
     scratch = Scratch(docs.sparkSession, "rules")
-    # counts are small beside the texts and are kept; whole documents are counted twice rather than written once more
-    counts = document_counts(docs) if whole else scratch.save(document_counts(docs), "counts")
+    # each text is counted once; writing a document beside its counts costs far less than counting it again
+    counts = scratch.save(document_counts(docs, whole), "counts")
     refs = F.broadcast(scratch.save(references(counts), "references"))  # five rows at most
-    counts = document_counts(docs, True) if whole else counts
     rows = counts.join(refs, "lang").select(
         *(["row"] if whole else []),
         "doc_id",
