@@ -71,7 +71,7 @@ def _anchors(docs: DataFrame, windows: DataFrame, lengths: list[int], hint, scra
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """rid, doc_id, text_key, n_words, start, length, items: each place (from 0) where a window occurs in a document.
 
-    rid numbers the rows of docs, text_key is xxhash64 of the text. Each row of docs also has at least one row here with start, length and items null.
+    rid numbers the rows of docs, text_key is the SHA-256 of the text. Each row of docs also has at least one row here with start, length and items null.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontamination")
@@ -79,7 +79,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadca
     bytes_of = F.lit(64) + F.aggregate("words", F.lit(0), lambda a, x: a + F.octet_length(x) + 16) + 16 * F.size("items")
     size, lengths = windows.agg(F.coalesce(F.sum(bytes_of), F.lit(0)), F.sort_array(F.collect_set("k"))).first()
     small = size <= broadcast_bytes
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"), text_key(F.col("text")).alias("text_key"))
     if not small:
         rows = scratch.save(rows, "rows")
     rows = rows.select("rid", "doc_id", "text_key", alnum_words(F.col("text")).alias("words"))
@@ -103,10 +103,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, broad
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans (start, length), items and text_key, for each row of docs.
 
     Null or wordless texts have no hits; null or wordless items have no windows; an item of a null id marks words but is
-    not counted. Repeated rows are answered each; other columns are ignored; empty tables are allowed on both sides.
+    not counted. Repeated rows are answered each; other columns are ignored; empty tables are allowed on both sides. A text
+    of any length is read whole, as one cell; its words come as rows of their own.
     """
     spans = F.sort_array(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "length"))))
-    rows = occurrences(docs, benchmark, window, broadcast_bytes).groupBy("rid", "doc_id", "text_key").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.collect_set("items").alias("items"))
+    rows = occurrences(docs, benchmark, window, broadcast_bytes).groupBy("rid", "doc_id").agg(F.first("text_key").alias("text_key"), F.max("n_words").alias("n_words"), spans.alias("spans"), F.collect_set("items").alias("items"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
 
     def cover(acc: Column, x: Column) -> Column:
@@ -128,6 +129,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, broad
     )
 
 
+def text_key(text: Column) -> Column:
+    """What contamination calls a text: its SHA-256."""
+    return F.unhex(F.sha2(text.cast("string"), 256))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in 13-word windows of the benchmark."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items", "text_key")
