@@ -1,11 +1,14 @@
 """WARC archives as a table of chunks.
 
-Writing: each task streams its records, compressed one by one, to an archive in the shared folder and reports the archive's
-name, so what a lost or repeated attempt wrote is never read. Reading: archives are streamed into rows of record, chunk
-number and a bounded piece of the payload, each with the SHA-1 and the byte count of the payload up to there; the last
-chunk of a record thus carries its digest, which is compared with the record's header. The reading half holds no record as
-a whole. The writing half does: a payload is one cell that is hashed, shuffled beside its duplicates and handed to Python
-in a batch of rows, so very large pages cost memory there.
+Writing: a first pass over the pages keeps digests and sizes alone and finds which payloads repeat; revisits need no more
+than that, so a payload is only shuffled where its digest may be a repeated one. What is written goes to Python as rows of
+record, chunk number and a bounded piece of the payload. Each task streams its records, compressed one by one, to an
+archive in the shared folder and reports the archive's name, so what a lost or repeated attempt wrote is never read.
+
+Reading: archives are streamed into rows of record, chunk number and a bounded piece of the payload, each with the SHA-1
+and the byte count of the payload up to there; the last chunk of a record thus carries its digest, which is compared with
+the record's header. No Python task holds a record as a whole. The JVM does while it hashes and cuts a page, for a page is
+one cell of its table.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloft.llm.common import Scratch, map_arrow, table
+from keyloft.llm.common import Scratch, map_arrow, maybe_among, table
 
 #: Bytes of a chunk; bytes of an archive after which a task starts another; payloads from this size on are stored once.
 CHUNK, ARCHIVE, MIN_REVISIT = 1 << 18, 1 << 28, 1000
@@ -37,27 +40,43 @@ def _open(uri: str, write: bool):
     return at.open_input_stream(path, compression=None)
 
 
-def payloads(pages: DataFrame) -> DataFrame:
+def payloads(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, payload (binary), n, sha1, response: for pages stored as a revisit, the page_id that holds the payload.
 
     Of equal payloads of MIN_REVISIT bytes or more, rows with the largest page_id are responses and the others, null
-    page_ids among them, revisit it.
+    page_ids among them, revisit it; a revisit's payload is null here.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("n", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    same = rows.filter(F.col("n") >= MIN_REVISIT).groupBy("sha1", "n").agg(F.max("page_id").alias("top"), F.count("*").alias("rows")).filter("rows > 1 and top is not null").select("sha1", "n", "top")
-    response = F.when(F.coalesce(F.col("page_id") < F.col("top"), F.col("top").isNotNull()), F.col("top"))
-    return rows.join(same, ["sha1", "n"], "left").select("page_id", "url", "payload", "n", "sha1", response.alias("response"))
-
-
-def _header(page_id, url, n: int, sha1: str, response, date: str) -> bytes:
+    digests = scratch.save(rows.filter(F.col("n") >= MIN_REVISIT).drop("payload"), "digests")
+    repeated = digests.groupBy("sha1", "n").agg(F.max("page_id").alias("top"), F.count("*").alias("rows")).filter("rows > 1 and top is not null")
+    same = scratch.save(repeated.select("sha1", "n", "top"), "repeated")  # a plain table, so that a join can split a hot payload
+    if same.isEmpty():
+        return rows.withColumn("response", F.lit(None).cast("long"))
+    revisit = F.coalesce(F.col("page_id") < F.col("top"), F.lit(True))
+    revisits = digests.join(same, ["sha1", "n"]).filter(revisit).select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "n", "sha1", F.col("top").alias("response"))
+    maybe, once = maybe_among(rows, same, "sha1", "n")
+    known = maybe.join(same, ["sha1", "n"], "left").filter(F.col("top").isNull() | ~revisit).select(rows.columns)
+    return once.unionByName(known).withColumn("response", F.lit(None).cast("long")).unionByName(revisits)
+
+
+def pieces(rows: DataFrame, chunk: int) -> DataFrame:
+    """Rows of ``payloads`` cut in the JVM: k and data for every piece of chunk bytes, in order; one empty piece without a payload."""
+    count = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("payload"), F.lit(0)) / chunk)).cast("int")
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
+    data = F.coalesce(F.substring("payload", F.col("k") * chunk + 1, F.lit(chunk)), F.lit(b""))
+    return each.select("page_id", "url", "n", "sha1", "response", "k", data.alias("data"))
+
+
+def _header(record: str, page_id, url, n: int, sha1: str, response, date: str) -> bytes:
     """Headers of the record and of the HTTP message in it, up to the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
+    name = lambda x: "" if x is None else x
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if response is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:keyloft:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:keyloft:page:{name(page_id)}:{record}>",
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
         "Content-Type: application/http; msgtype=response",
@@ -71,43 +90,65 @@ def _header(page_id, url, n: int, sha1: str, response, date: str) -> bytes:
 
 
 def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", chunk: int = CHUNK) -> DataFrame:
-    """Writes a record for each row of ``payloads``; returns path, records, bytes of each archive (run it once and keep it)."""
+    """Writes a record for each row of ``payloads``; returns path, records, bytes of each archive (run it once and keep it).
+
+    A record's id is its page_id with the task and the place of the record there, so that rows of one page_id differ; a
+    revisit names the page, whose records' ids start with that name.
+    """
 
     def run(batches):
         task = TaskContext.get()
-        name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        done, out, size, records = [], None, 0, 0
+        mark = f"{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+        done, out, size, records, written, press, held = [], None, 0, 0, 0, None, []
+
+        def put(last: bool):
+            nonlocal size, held
+            if held and (last or sum(map(len, held)) > chunk):
+                raw = b"".join(held)
+                out.write(raw)
+                size += len(raw)
+                held = []
+
+        def end_record():
+            nonlocal press
+            if press is not None:
+                held.extend((press.compress(b"\r\n\r\n"), press.flush()))
+                put(True)
+                press = None
+
+        def end_archive():
+            nonlocal out
+            if out is not None:
+                out.close()
+                done.append((name(), records, size))
+                out = None
+
+        def name() -> str:
+            return f"{folder}/part-{mark}-{len(done):04d}.warc.gz"
+
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "payload", "n", "sha1", "response")]
+            columns = [batch.column(c) for c in ("k", "page_id", "url", "n", "sha1", "response")]
+            data = batch.column("data")
             for i in range(batch.num_rows):
-                page_id, url, payload, n, sha1, response = (c[i] for c in columns)
-                response = response.as_py()
-                if out is None:
-                    out, size, records = _open(f"{name}-{len(done):04d}.warc.gz", True), 0, 0
-                press = zlib.compressobj(3, zlib.DEFLATED, 31)
-                parts = [press.compress(_header(page_id.as_py(), url.as_py(), n.as_py(), sha1.as_py(), response, date))]
-                if response is None:
-                    whole = memoryview(payload.as_buffer())
-                    for at in range(0, len(whole), chunk):
-                        parts.append(press.compress(whole[at : at + chunk]))
-                        if sum(map(len, parts)) > chunk:
-                            out.write(b"".join(parts))
-                            size += sum(map(len, parts))
-                            parts = []
-                parts += [press.compress(b"\r\n\r\n"), press.flush()]
-                out.write(b"".join(parts))
-                size += sum(map(len, parts))
-                records += 1
-                if size >= ARCHIVE:
-                    out.close()
-                    done.append((f"{name}-{len(done):04d}.warc.gz", records, size))
-                    out = None
-        if out is not None:
-            out.close()
-            done.append((f"{name}-{len(done):04d}.warc.gz", records, size))
+                k, page_id, url, n, sha1, response = (c[i].as_py() for c in columns)
+                if k == 0:
+                    end_record()
+                    if size >= ARCHIVE:
+                        end_archive()
+                    if out is None:
+                        out, size, records = _open(name(), True), 0, 0
+                    press = zlib.compressobj(3, zlib.DEFLATED, 31)
+                    held.append(press.compress(_header(f"{mark}-{written}", page_id, url, n, sha1, response, date)))
+                    records += 1
+                    written += 1
+                if len(data[i].as_buffer()):
+                    held.append(press.compress(memoryview(data[i].as_buffer())))
+                    put(False)
+        end_record()
+        end_archive()
         yield pa.RecordBatch.from_pylist([dict(zip(("path", "records", "bytes"), x)) for x in done], schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return map_arrow(rows, run, "path string, records long, bytes long")
+    return map_arrow(pieces(rows, chunk), run, "path string, records long, bytes long")
 
 
 class _Inflated:
@@ -156,7 +197,7 @@ def _fields(head: bytes) -> dict[str, str]:
 
 def _chunks(source, chunk: int):
     """Rows of CHUNK_ROW of one archive."""
-    number = lambda uri: int(uri[:-1].rpartition(":")[2]) if uri and uri[:-1].rpartition(":")[2] else None
+    number = lambda uri: int(uri.rstrip(">").split(":")[3]) if uri and uri.rstrip(">").split(":")[3] else None
     stream = _Inflated(source, chunk)
     while (head := stream.until(b"\r\n\r\n")) is not None:
         fields = _fields(head)
@@ -215,10 +256,10 @@ def archive(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Writes all pages to archives and returns the chunked record table read back from them.
 
     A null html is an empty payload, a null page_id an empty id; rows are archived each, repeated ones too; other columns
-    are ignored. An empty table gives no archive and no rows.
+    are ignored. A payload of any length is archived whole, chunk by chunk. An empty table gives no archive and no rows.
     """
     scratch = Scratch(pages.sparkSession, "warc")
-    written = scratch.save(write_archives(payloads(pages), scratch.path("archives"), chunk=chunk), "manifest")
+    written = scratch.save(write_archives(payloads(pages, scratch), scratch.path("archives"), chunk=chunk), "manifest")
     return read_chunks(written.repartition(max(1, written.count())), chunk)
 
 
