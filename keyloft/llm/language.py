@@ -24,13 +24,47 @@ LANGUAGES = ("de", "en", "es", "fr")
 #: Buckets of hashed trigrams; weight of a trigram's log likelihood (neighbours overlap, so each counts less than fully); pseudo-votes of the level above.
 BUCKETS, TEMPER, SMOOTHING = 1 << 14, 0.2, 4.0
 
-_DROP = re.compile(r"(?is)<(script|style|nav|footer|header|aside|head|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})")
+#: Elements whose whole content is no text of the page.
+_SILENT = ("script", "style", "nav", "footer", "header", "aside", "head", "noscript", "template")
+_OPENS = re.compile(r"<(?:(" + "|".join(_SILENT) + r")\b|!--)?", re.I)
+_CLOSES = {name: re.compile(rf"</{name}\s*>", re.I) for name in _SILENT} | {"": re.compile("-->")}
+_HTML, _LANG = re.compile(r"<html\b", re.I), re.compile(r"\blang\s*=\s*[\"']?([a-z]{2,3})", re.I)
 
 
 def visible_text(html: str) -> str:
-    """Text of a page without markup, scripts and navigation."""
-    return markup.unescape(_DROP.sub(" ", html))
+    """Text of a page without markup, comments, scripts and navigation.
+
+    An element or comment without an end loses its tag alone; a ``<`` without a ``>`` after it is text. One pass: once
+    no end is found, it is not looked for again, so a page of unclosed tags takes no longer than another.
+    """
+    out, at, absent = [], 0, set()
+    while found := _OPENS.search(html, at):
+        kind = found[1].lower() if found[1] else "" if found[0] != "<" else None
+        end = None
+        if kind is not None and kind not in absent:
+            # silent elements end behind their tag at the earliest, comments behind their mark
+            end = _CLOSES[kind].search(html, found.end())
+            if end is None:
+                absent.add(kind)
+        to = end.end() if end else 1 + html.find(">", found.end() if kind is None else found.start())
+        if not to:
+            break
+        out.append(html[at : found.start()])
+        at = to
+    out.append(html[at:])
+    return markup.unescape(" ".join(out))
+
+
+def declared_language(html: str) -> str:
+    """Language code of the first html tag that has one, in lower case; empty without any."""
+    at = 0
+    while found := _HTML.search(html, at):
+        end = html.find(">", found.end())
+        code = _LANG.search(html, found.end(), len(html) if end < 0 else end)
+        if code or end < 0:
+            return code[1].lower() if code else ""
+        at = end
+    return ""
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -77,9 +111,8 @@ def page_evidence(pages: DataFrame, likelihoods: np.ndarray, languages: tuple[st
                         host = (urlsplit(url or "").hostname or "").rstrip(".")
                     except ValueError:
                         host = ""
-                    found = _LANG.search(html or "")
                     grams = trigrams(visible_text(html or ""))
-                    out.append((page_id, host, ".".join(host.split(".")[-2:]), host.rpartition(".")[2], found[1].lower() if found else "", len(grams), likelihoods[:, grams].sum(axis=1).tolist()))
+                    out.append((page_id, host, ".".join(host.split(".")[-2:]), host.rpartition(".")[2], declared_language(html or ""), len(grams), likelihoods[:, grams].sum(axis=1).tolist()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds.types)], schema=kinds)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -95,7 +128,8 @@ def identify(pages: DataFrame, docs: DataFrame, languages: tuple[str, ...] = LAN
 
     A null or empty html has no text; a url that is null or has no host belongs to the host ''. Pages without any evidence
     take the prior of all pages. Ties go to the first language of the list. Rows are judged each, repeated ones too; other
-    columns are ignored; without labelled documents the text says nothing; an empty table gives an empty result.
+    columns are ignored; without labelled documents the text says nothing; an empty table gives an empty result. A page of
+    any length is read whole, in time that grows with its length, unclosed markup included.
     """
     scratch = Scratch(pages.sparkSession, "language")
     n = len(languages)
@@ -105,11 +139,11 @@ def identify(pages: DataFrame, docs: DataFrame, languages: tuple[str, ...] = LAN
     rows = rows.withColumn("t", best(F.col("ll"))).withColumn("vote", F.when(F.col("n_grams") > 0, F.array(*[(F.col("t") == i).cast("double") for i in range(n)])).otherwise(F.array(*[F.lit(0.0)] * n)))
 
     hosts = scratch.save(rows.groupBy("host", "domain", "suffix").agg(_sums("vote", n).alias("by_host")), "hosts")
-    domains = hosts.groupBy("domain", "suffix").agg(_sums("by_host", n).alias("by_domain"))
+    domains = scratch.save(hosts.groupBy("domain", "suffix").agg(_sums("by_host", n).alias("by_domain")), "domains")
     suffixes = scratch.save(domains.groupBy("suffix").agg(_sums("by_domain", n).alias("by_suffix")), "suffixes")
     everything = suffixes.agg(_sums("by_suffix", n)).first()[0]
     everything = F.array(*[F.lit(float(x or 0.0)) for x in everything])
-    levels = hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix").select("host", "by_host", "by_domain", "by_suffix")
+    levels = scratch.save(hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix").select("host", "by_host", "by_domain", "by_suffix"), "levels")
 
     # how often the text's language goes with each declared language; few rows, for codes have two or three letters
     declared = rows.groupBy("declared").agg(_sums("vote", n).alias("by_declared"))
