@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     Null or blank texts have an empty set and no links. Rows that share a doc_id count as one document (linked through
     any of their texts); rows with a null doc_id are returned with a null component_id, kept, and take no part. Other
-    columns are ignored. An empty table gives an empty result.
+    columns are ignored. A text of any length is hashed whole, in pieces. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -236,6 +236,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         if not cross.isEmpty():
             labels = components(links.union(cross), scratch)
 
+    # labels and placed are all that is read from here on
+    scratch.drop(rows_of, classes, members, once_each, candidates, texts, links, rest, crowd, mixed)
     out = placed.join(labels.select(F.col("v").alias("rep"), "root"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
