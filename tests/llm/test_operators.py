@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from keyloft.llm import chat, classifier, components, decontamination, language, minhash, packing, quality_rules, sharding, shingling, tokens, warc
-from keyloft.llm.common import Scratch, env_path, semi_join, table
+from keyloft.llm.common import Scratch, tokenizer_path, semi_join, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, rid long, words string, key string, n int"
 
@@ -160,7 +160,7 @@ def test_semi_join_is_exact(spark):
 def libraries():
     from tokenizers import Tokenizer
 
-    return {n: Tokenizer.from_file(env_path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+    return {n: Tokenizer.from_file(tokenizer_path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
 
 
 @given(st.lists(st.lists(st.sampled_from(list("abS's  \n\t.,!<|>éİ\u0301\u3000\x1c\x85中1") + ["<|endoftext|>", "we'll ", "   "]), max_size=40).map("".join), max_size=8))
@@ -169,24 +169,24 @@ def test_units_give_the_library_tokens(texts):
     from tokenizers import Tokenizer
 
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        library = tokens.worker_store().setdefault(("library", name), None) or Tokenizer.from_file(env_path(name))
+        library = tokens.worker_store().setdefault(("library", name), None) or Tokenizer.from_file(tokenizer_path(name))
         tokens.worker_store()[("library", name)] = library
-        encoder = tokens.Encoder(env_path(name), list, "test")
+        encoder = tokens.Encoder(tokenizer_path(name), list, "test")
         assert [[i for v in values for i in v] for values in encoder.values(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_counts_of_odd_and_real_texts(spark, sf_dir, libraries):
     library = libraries["byte_bpe_50k.json"]
     docs = docs_of(spark, ODD).select("doc_id", "text", "n").union(table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(1)))
-    found = tokens.count_tokens(docs, env_path("byte_bpe_50k.json")).collect()
+    found = tokens.count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).collect()
     texts = [r.text or "" for r in docs.collect()]
     assert [(r.n_bytes, r.n_tokens, r.over_limit) for r in found] == [(len(t.encode()), n, n > 1024) for t, n in zip(texts, (len(library.encode(t, add_special_tokens=False).ids) for t in texts))]
-    assert tokens.count_tokens(docs.limit(0), env_path("byte_bpe_50k.json")).count() == 0
+    assert tokens.count_tokens(docs.limit(0), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
 def test_memory_of_units_is_bounded(libraries, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBER", 50)
-    encoder = tokens.Encoder(env_path("word_bpe_49k.json"), len, "bounded")
+    encoder = tokens.Encoder(tokenizer_path("word_bpe_49k.json"), len, "bounded")
     texts = [" ".join(f"word{random.Random(i).randrange(10**6)} the" for _ in range(9)) for i in range(3000)]
     got = [sum(v) for v in encoder.values(texts)]
     assert got == [len(e.ids) for e in libraries["word_bpe_49k.json"].encode_batch(texts, add_special_tokens=False)]
@@ -197,7 +197,7 @@ def test_packing_is_whole_and_tight(spark, sf_dir, libraries, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ROWS", 60)
     library = libraries["word_bpe_49k.json"]
     docs = docs_of(spark, ODD).select("doc_id", "text", "n").union(table(spark, sf_dir, "documents").select(F.col("doc_id") + 100, "text", F.lit(1)))
-    found = packing.pack(docs, env_path("word_bpe_49k.json")).toPandas()
+    found = packing.pack(docs, tokenizer_path("word_bpe_49k.json")).toPandas()
     want = []
     for r in docs.collect():
         ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 1]
@@ -208,7 +208,7 @@ def test_packing_is_whole_and_tight(spark, sf_dir, libraries, monkeypatch):
     for _, s in found.sort_values("offset").groupby("sequence_id"):
         assert (s.offset.to_numpy() == np.concatenate([[0], s.length.cumsum()[:-1]])).all() and s.length.sum() <= 4096
     assert found.sequence_id.nunique() <= -(-found.length.sum() // 4096) + 8
-    assert packing.pack(docs.limit(0), env_path("word_bpe_49k.json")).count() == 0
+    assert packing.pack(docs.limit(0), tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
 @given(st.lists(st.integers(1, 20), max_size=60))
@@ -325,6 +325,43 @@ def test_held_out_accuracy(spark, sf_dir):
     assert found.score.between(0, 1).all() and (found.predicted == (found.score >= 0.7)).all()
 
 
+def test_scores_against_plain_normal_equations(spark, sf_dir):
+    """Ridge on all labelled rows and isotonic levels of out-of-fold scores, in numpy on the same statistics."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    y = {r.doc_id: float(r.quality) for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(classifier.FOLDS)).alias("fold")).collect()
+    x = classifier.statistics([(r.text or "").encode() for r in rows]).astype(np.float64)
+    known = np.array([r.doc_id in y for r in rows])
+    target, fold = np.array([y[r.doc_id] for r in rows if r.doc_id in y]), np.array([r.fold for r in rows])[known]
+    mean, std = x[known].mean(axis=0), x[known].std(axis=0)
+    z = classifier.fourier(x, mean, np.where(std > 1e-6, std, 1.0), classifier.FEATURES, classifier.WIDTH, 11)
+
+    def ridge(a, b):
+        return np.linalg.solve(a.T @ a + classifier.RIDGE * max(1.0, len(a)) * np.eye(a.shape[1]) / classifier.FEATURES, a.T @ b)
+
+    raw = np.zeros(known.sum())
+    for f in range(classifier.FOLDS):
+        raw[fold == f] = z[known][fold == f] @ ridge(z[known][fold != f], target[fold != f])
+    bins = np.clip((raw + 0.5) * classifier.BINS / 2, 0, classifier.BINS - 1).astype(int)
+    used = np.unique(bins)
+    knots = np.maximum.accumulate([raw[bins == b].mean() for b in used])
+    levels = classifier.isotonic(np.array([target[bins == b].mean() for b in used]), np.array([float((bins == b).sum()) for b in used]))
+    score = z @ ridge(z[known], target)
+    want = np.clip(0.99 * np.interp(score, knots, levels) + 0.01 * np.clip(score, 0, 1), 0, 1)
+    found = {r.doc_id: r.score for r in classifier.quality_scores(docs, labels).collect()}
+    assert len(found) == len(rows)
+    near = np.array([abs(found[r.doc_id] - w) for r, w in zip(rows, want)])
+    assert np.median(near) < 1e-6 and (near < 1e-3).mean() > 0.98  # a raw score at a bin's edge may fall to either side
+
+
+def test_long_texts_are_scored_whole(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    text = docs.orderBy("doc_id").first().text
+    more = spark.createDataFrame([(-1, (text + " ") * 2000), (-2, (text + " ") * 2000 + "| # " * 200_000)], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in classifier.quality_scores(docs.select("doc_id", "text").union(more), labels).collect()}
+    assert len(found) == docs.count() + 2 and found[-1] != found[-2]
+
+
 def test_held_out_labels_do_not_matter(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     turned = labels.withColumn("quality", F.when(classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -377,6 +414,54 @@ def test_host_prior_decides_where_text_is_silent(spark, sf_dir):
     assert (found[-1], found[-2]) == ("fr", "en")
 
 
+@pytest.mark.parametrize("markup", ["<script>", "<html ", "<!--", "<", "<p", "</style", "<head><nav>"])
+def test_long_unclosed_markup_takes_no_longer(markup):
+    import time
+
+    page = markup * (2_000_000 // len(markup)) + "lang=fr"
+    began = time.perf_counter()
+    language.visible_text(page)
+    assert language.declared_language(page) == ("fr" if markup == "<html " else "")
+    assert time.perf_counter() - began < 2
+
+
+def test_visible_text_and_declared_language():
+    page = "<!DOCTYPE html><HTML class=a lang = 'DE-at'><head><title>no</title></head><body><!-- <p>no</p> --><p>ja &amp; 1 < 2</p><script>var a = '<p>';</SCRIPT ><nav>no</nav><header>x</header>gut</body>"
+    assert language.visible_text(page).split() == ["ja", "&", "1", "gut"]  # "< 2</p>" runs to the next mark
+    assert language.declared_language(page) == "de"
+    assert language.visible_text("a <script> b") == "a   b" and language.visible_text("a < b") == "a < b"
+    assert language.declared_language("<html><html lang=es>") == "es" and language.declared_language("<htmlx lang=es>") == ""
+
+
+def test_fusion_of_evidence_against_plain_arithmetic(spark, sf_dir):
+    """Posteriors of all pages, computed page by page from the evidence."""
+    import math
+
+    pages, docs = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")
+    langs, n, k = language.LANGUAGES, len(language.LANGUAGES), language.SMOOTHING
+    rows = language.page_evidence(pages, language.trigram_likelihoods(docs, langs), langs).collect()
+    vote = lambda r: [1.0 if r.n_grams and i == r.ll.index(max(r.ll)) else 0.0 for i in range(n)]
+    levels = {"all": {}, "suffix": {}, "domain": {}, "host": {}, "declared": {}}
+    of = lambda r: {"all": "", "suffix": r.suffix, "domain": (r.domain, r.suffix), "host": (r.host, r.domain, r.suffix), "declared": r.declared}
+    for r in rows:
+        for level, key in of(r).items():
+            held = levels[level].setdefault(key, [0.0] * n)
+            levels[level][key] = [a + b for a, b in zip(held, vote(r))]
+    want = {}
+    for r in rows:
+        less = {level: [max(0.0, a - b) for a, b in zip(levels[level][key], vote(r))] for level, key in of(r).items()}
+        first = p = [(x + 1) / (sum(less["all"]) + n) for x in less["all"]]
+        for level in ("suffix", "domain", "host"):
+            p = [(c + k * above) / (sum(less[level]) + k) for c, above in zip(less[level], p)]
+        ratio = [(c + k * g) / ((sum(less["declared"]) + k) * g) for c, g in zip(less["declared"], first)]
+        log = [language.TEMPER * a + math.log(b) + math.log(c) for a, b, c in zip(r.ll, p, ratio)]
+        want[r.page_id] = (langs[log.index(max(log))], 1 / sum(math.exp(x - max(log)) for x in log))
+    found = language.identify(pages, docs).collect()
+    assert len(found) == len(want)
+    for r in found:
+        assert r.lang == want[r.page_id][0] and abs(r.posterior - want[r.page_id][1]) < 1e-9
+
+
 # ------------------------------------------------------------------ archives, shards, dialogues
 
 
@@ -406,11 +491,28 @@ def test_archives_round_trip(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_hot_payload_is_stored_once_and_ids_differ(spark, tmp_path):
+    """One payload a thousand times, repeated page_ids, payloads longer than a batch."""
+    import gzip
+
+    hot, long = "<p>hot</p>" * 200, "é" * 3_000_000
+    rows = [(i, "u", hot) for i in range(1000)] + [(999, "u", hot), (2000, "u", long), (2000, "u", "short"), (2001, "u", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    archives = warc.write_archives(warc.payloads(pages, Scratch(spark, "t")), f"file://{tmp_path}/w").collect()
+    raw = b"".join(gzip.decompress(open(r.path.replace("file://", ""), "rb").read()) for r in archives)
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", raw)
+    assert len(ids) == len(set(ids)) == sum(r.records for r in archives) == len(rows)
+    assert raw.count(hot.encode()) == 2 and raw.count(long.encode()) == 1  # page 999 twice; 2001 for 2000
+    found = warc.records(warc.archive(pages)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in found if r.page_id > 997) == [(998, "revisit", 999), (999, "response", None), (999, "response", None), (2000, "response", None), (2000, "revisit", 2001), (2001, "response", None)]
+    assert {r.refers_to for r in found if r.page_id < 999} == {999}
+
+
 def test_archives_are_plain_warc(spark, tmp_path):
     import gzip
 
     pages = spark.createDataFrame([(1, "http://a/", "hello")], "page_id long, url string, html string")
-    path = warc.write_archives(warc.payloads(pages), f"file://{tmp_path}/w").first().path
+    path = warc.write_archives(warc.payloads(pages, Scratch(spark, "t")), f"file://{tmp_path}/w").first().path
     raw = gzip.decompress(open(path.replace("file://", ""), "rb").read())
     assert raw.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and raw.endswith(b"\r\n\r\nhello\r\n\r\n")
 
@@ -419,7 +521,7 @@ def test_damaged_archives_are_noticed(spark, tmp_path):
     import gzip
 
     pages = spark.createDataFrame([(1, "http://a/", "hello")], "page_id long, url string, html string")
-    path = warc.write_archives(warc.payloads(pages), f"file://{tmp_path}/w").first().path.replace("file://", "")
+    path = warc.write_archives(warc.payloads(pages, Scratch(spark, "t")), f"file://{tmp_path}/w").first().path.replace("file://", "")
     raw = gzip.decompress(open(path, "rb").read())
     open(path, "wb").write(gzip.compress(raw.replace(b"hello", b"hullo")))
     with pytest.raises(Exception, match="does not match its digest"):
@@ -435,6 +537,25 @@ def test_differencing_places_all_items(sizes, parts):
     assert max(sums, default=0) - min(sums, default=0) <= max(sizes, default=0)
 
 
+@given(st.lists(st.integers(0, 50), max_size=14), st.integers(1, 4))
+@settings(max_examples=80, deadline=None)
+def test_differencing_against_a_plain_form(sizes, parts):
+    """Partitions as sorted lists of (sum, items); the two of largest spread are joined, largest with smallest."""
+    held = [[(0, [])] * (parts - 1) + [(s, [i])] for i, s in enumerate(sizes)]
+    spread = lambda h: h[-1][0] - h[0][0]
+    age = list(range(len(held)))
+    while len(held) > 1:
+        picked = sorted(range(len(held)), key=lambda j: (-spread(held[j]), age[j]))[:2]
+        a, b = (held[j] for j in picked)
+        both = sorted(((x + y, k, p + q) for k, ((x, p), (y, q)) in enumerate(zip(a, reversed(b)))), key=lambda t: t[:2])
+        rest = [j for j in range(len(held)) if j not in picked]
+        held, age = [held[j] for j in rest] + [[(s, items) for s, _, items in both]], [age[j] for j in rest] + [max(age) + 1]
+    want = sorted(s for s, _ in held[0]) if held else []
+    placed = sharding.differencing(sizes, parts)
+    sums = sorted(sum(s for s, p in zip(sizes, placed) if p == k) for k in range(parts))
+    assert not sizes or sums == want
+
+
 def test_known_differencing_result():
     sizes = [8, 7, 6, 5, 4]
     placed = sharding.differencing(sizes, 2)
@@ -450,24 +571,37 @@ def test_shards(spark, sf_dir):
     for _, s in found.groupby("shard"):
         assert sorted(s.slot) == list(range(len(s)))
     sums = found.groupby("shard")["size"].sum()
-    hot = found.groupby("text_crc32")["size"].sum().max()
-    assert sums.max() <= max(hot, sums.mean() * 1.1) + 1
+    group = found["text_crc32"].map(found.groupby("text_crc32")["size"].sum())
+    others = sums.drop(found.loc[group > sums.mean(), "shard"].unique())  # a group above a mean shard has one alone
+    assert len(others) >= 20 and others.max() - others.min() <= 0.01 * others.mean()
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
 def test_rotation_covers_everyone_and_masks_the_assistant(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi<|im_end|>"), (1, 2, "bob b", "yo"), (1, 3, "ann", None), (1, 3, "ann", None), (1, None, None, "first"), (1, 200, "bob b", "late"), (2, 0, "system", "only"), (None, 0, "ann", "alone"), (None, 0, "ann", "alone"), (None, 1, "bob", "other")]
-    df = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, chunk int")
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi<|im_end|>"), (1, 2, "bob b", "yo"), (1, 3, "ann", None), (1, 3, "ann", None), (1, None, None, "first"), (1, 200, "bob_b", "late"), (1, 300, "unknown", "é"), (1, 301, "Zoë*~+%", "x"), (2, 0, "system", "only"), (None, 0, "ann", "alone"), (None, 0, "ann", "alone"), (None, 1, "bob", "other")]
+    df = spark.createDataFrame([(*r, 5, 6) for r in rows], "conv_id long, turn long, role string, text string, chunk int, row_in_subset int")
     found = chat.rotate(df).collect()
     mine = {(r.perspective, r.chunk): r for r in found if r.conv_id == 1}
-    assert set(mine) == {(p, c) for p in ("ann", "bob b", "unknown") for c in (0, 3)}
+    assert set(mine) == {(p, 0) for p in ("ann", "bob b", "bob_b", None, "unknown", "Zoë*~+%")}
     ann = mine[("ann", 0)]
     assert [ann.text[s.start : s.end] for s in ann.spans] == ["hi<|im end|><|im_end|>", "<|im_end|>", "<|im_end|>"]
-    assert ann.text.startswith("<|im_start|>user name=unknown\nfirst<|im_end|>\n<|im_start|>system\nbe kind") and "user name=bob_b\nyo" in ann.text
-    assert mine[("ann", 3)].spans == [] and sorted(r.n_turns for r in found if r.conv_id is None) == [1, 2]
+    assert ann.text.startswith("<|im_start|>user\nfirst<|im_end|>\n<|im_start|>system\nbe kind") and "user name=bob%20b\nyo" in ann.text
+    for name in ("bob_b\nlate", "unknown\né", "Zo%C3%AB%2A~%2B%25\nx"):  # speakers that would clash if unsafe characters went
+        assert f"user name={name}" in ann.text
+    assert [mine[(None, 0)].text[s.start : s.end] for s in mine[(None, 0)].spans] == ["first<|im_end|>"]
+    assert sorted(r.n_turns for r in found if r.conv_id is None) == [1, 2]
     assert not [r for r in found if r.conv_id == 2] and chat.rotate(df.limit(0)).count() == 0
 
 
+def test_chunks_hold_equally_many_turns_whatever_their_numbers(spark):
+    rows = [(1, None, "ann", f"say {t}") for t in range(150)] + [(2, 7, f"p{t % 40}", f"say {t}") for t in range(150)] + [(3, t * 10**9, "ann", f"say {t:03d}") for t in range(150)]
+    found = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.chunk, r.n_turns) for r in found} == {(c, k, n) for c in (1, 2, 3) for k, n in ((0, 64), (1, 64), (2, 22))}
+    assert len({r.perspective for r in found if r.conv_id == 2}) == 40
+    third = sorted((r.chunk, r.text) for r in found if r.conv_id == 3)
+    assert "".join(t for _, t in third) == "".join(f"<|im_start|>assistant\nsay {t:03d}<|im_end|>\n" for t in range(150))
+
+
 def test_chunks_are_joined_to_whole_dialogues(spark):
     rows = [(1, t, ("ann", "bob")[t % 2], f"say {t}") for t in range(150)] + [(2, 1_000 * t, ("ann", "bob")[t % 2], f"é {t}") for t in range(5)] + [(None, 0, "ann", "alone"), (None, 900, "ann", "too")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -6,7 +6,7 @@ import zlib
 
 import corpus_pipeline
 from keyloft.llm import classifier, decontamination, quality_rules
-from keyloft.llm.common import env_path, table
+from keyloft.llm.common import tokenizer_path, table
 from tests.llm.test_operators import ODD, brute_components, brute_hits, docs_of
 
 
@@ -29,11 +29,11 @@ def test_stages_on_small_tables(spark, sf_dir):
     assert ids(after) == set(roots.values())
     before, after = kept["decontamination"]
     items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
-    assert ids(after) == {d for d, *_, bad in brute_hits([(r.doc_id, r.text) for r in before.collect()], items) if not bad}
+    assert ids(after) == {d for d, _, hits, *_ in brute_hits([(r.doc_id, r.text) for r in before.collect()], items) if not hits}
 
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(env_path("word_bpe_49k.json"))
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     before, after = kept["packing"]
     lengths = {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in before.collect()}
     packed = after.toPandas()
@@ -57,7 +57,7 @@ def test_stages_on_odd_rows(spark, sf_dir):
     assert sorted(r.doc_id for r in once if r.doc_id is not None) == [1, 2, 3, 4, 6, 7, 8] and zlib.crc32(b"") == 0
     bad = docs_of(spark, [(None, "same words here", "en"), (1, "same words here", "en"), (2, "fine", "en")])
     items = spark.createDataFrame([(1, "same words here")], "item_id long, text string")
-    keys = decontamination.contamination(bad, items).filter("contaminated").select("text_key").distinct().count()
+    keys = decontamination.contamination(bad, items).filter("n_hit > 0").select("text_key").distinct().count()
     assert keys == 1
 
 
