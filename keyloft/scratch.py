@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[os.getpid()]
 
 
+_open: list[list[Scratch]] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes, at the end of the block, every table that was written by a Scratch made in it.
+
+    What is to outlive the block has to be written by a Scratch made outside.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for scratch in _open.pop():
+            scratch._delete(scratch.root)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors.
 
@@ -50,6 +69,8 @@ class Scratch:
         if int(spark.conf.get(BYTES_PER_BATCH, None) or -1) < 0:
             spark.conf.set(BYTES_PER_BATCH, str(16 << 20))
         atexit.register(self._delete, self.root)
+        if _open:
+            _open[-1].append(self)
 
     def path(self, label: str) -> str:
         self.n += 1
