@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloft.llm.classifier import good_documents
-from keyloft.llm.common import Scratch, env_path, table
-from keyloft.llm.decontamination import contamination
+from keyloft.llm.common import Scratch, table, tokenizer_path
+from keyloft.llm.decontamination import contamination, text_key
 from keyloft.llm.minhash import near_duplicates
 from keyloft.llm.packing import pack
 from keyloft.llm.quality_rules import quality_rules
 from keyloft.operators.chunking import running_sum
+from keyloft.scratch import released
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,20 +51,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = gone_of(rows.select(F.col("_node").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_node")
     left = rows.join(gone, "_node", "left_anti")
     once = left.join(repeated, "doc_id", "left_anti")
-    several = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["_node"])
-    return once.unionByName(several).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    # of rows with one id and one text the first by their other columns stays
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = left.join(repeated, "doc_id", "left_semi").groupBy("_node").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return once.select(docs.columns).unionByName(several).unionByName(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
+    """Documents in which no window of a benchmark item occurs, however long they are."""
     scratch = Scratch(spark, "contaminated")
-    bad = scratch.save(contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("text_key").distinct(), "texts")
-    return docs.join(bad, F.xxhash64("text") == bad.text_key, "left_anti")
+    bad = scratch.save(contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("text_key").distinct(), "texts")
+    return docs.join(bad, text_key(F.col("text")) == bad.text_key, "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents in sequences of 4096 tokens."""
-    return pack(docs, env_path("word_bpe_49k.json"))
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -79,9 +82,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents, with a table in the shared folder between two stages."""
+    """All stages in order over documents, with a table in the shared folder between two stages.
+
+    What a stage wrote for itself goes once its result is written, the result once the next one is.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with released():
+            kept = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
