@@ -78,3 +78,13 @@ def advance_status(rows: DataFrame, updates: DataFrame, ordered: list[str], forc
     joined = rows.select("path", "status").join(updates.select("path", F.col("status").alias("new")), "path", "full")
     forward = F.lit(force) | F.col("status").isNull() | (place("new") >= place("status"))
     return joined.select("path", F.when(F.col("new").isNotNull() & forward, F.col("new")).otherwise(F.col("status")).alias("status"))
+
+
+def promote(queue: DataFrame, following: DataFrame) -> DataFrame:
+    """owner, role, path after one step: current becomes previous, next becomes current, and following names the next ones.
+
+    queue has owner, role (previous, current or next) and path; following has owner and path. An owner without a next keeps
+    none as current.
+    """
+    moved = queue.filter("role in ('current', 'next')").withColumn("role", F.when(F.col("role") == "next", "current").otherwise("previous"))
+    return moved.select("owner", "role", "path").unionByName(following.select("owner", F.lit("next").alias("role"), "path"))

@@ -43,7 +43,7 @@ def identity_eq(name: str, value: float, scale: float) -> Column:
 def predicate(name: str, kind: str, value, tolerance: float | None = None, scale: float | None = None) -> Column:
     """One key against a value or a range (inclusive, ends in any order)."""
     col = F.col(name)
-    ends = as_range(value)
+    ends = as_range(value) if kind in ("INTEGER", "REAL") else None
     if kind == "INTEGER":
         if ends:
             lo, hi = sorted(int(x) for x in ends)
@@ -59,9 +59,7 @@ def predicate(name: str, kind: str, value, tolerance: float | None = None, scale
             return identity_eq(name, value, scale)
         return approx_eq(col, float(value), 1e-6 if tolerance is None else tolerance)
     if kind == "BOOLEAN":
-        if ends is not None or not isinstance(value, bool | int):
-            raise TypeError(f"{name} is boolean")
-        return col == F.lit(bool(value))
+        return col == F.lit(bool(value))  # whatever is true or false in Python
     if not isinstance(value, str):
         raise TypeError(f"{name} is text")
     return col == F.lit(value)

@@ -564,6 +564,15 @@ def q_trimmed_cells(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", text.trimmed(F.col("p_name"), 5, 3).alias("trimmed"), text.table_cell(F.concat_ws("|", "p_brand", "p_type")).alias("cell"))
 
 
+@query("""SELECT o_custkey AS owner, CASE o_orderstatus WHEN 'F' THEN 'previous' ELSE 'current' END AS role, o_orderkey AS path FROM orders WHERE o_orderstatus <> 'O' UNION ALL SELECT c_custkey, 'next', c_nationkey FROM customer""")
+def q_promote(spark, sf_dir):
+    """Queues of orders by customer, by status previous, current or next, one step on."""
+    role = F.when(F.col("o_orderstatus") == "O", "previous").when(F.col("o_orderstatus") == "F", "current").otherwise("next")
+    queue = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), role.alias("role"), F.col("o_orderkey").alias("path"))
+    following = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"), F.col("c_nationkey").cast("long").alias("path"))
+    return graph.promote(queue, following)
+
+
 from keyloft.plans import store_queries  # noqa: E402
 
 QUERIES |= store_queries.QUERIES

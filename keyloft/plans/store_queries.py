@@ -535,3 +535,14 @@ def q_store_navigate(spark, sf_dir):
         rows = spark.createDataFrame([("page", r.l_returnflag, r.l_linestatus) for r in page], "view string, l_returnflag string, l_linestatus string")
         out = rows if out is None else out.union(rows)
     return out.union(store.search("lines", "r").select(F.lit("search"), *LINE_KEYS))
+
+
+@query(f"SELECT l_returnflag, l_linestatus, ((count(*) + {LINE_ROWS - 1}) // {LINE_ROWS})::BIGINT AS files FROM lineitem GROUP BY 1, 2")
+def q_store_files(spark, sf_dir):
+    """Part files found by walking the store's folders, by the subsets that the parts table gives them."""
+    store = _lines(spark, sf_dir)
+    found = store.files.discover(f"{store.catalog.folder('lines')}", ["data/*/p/p=*.parquet"], ["*/_*"])
+    relpath = F.regexp_extract("path", "^(data/.*)/[^/]*$", 1)
+    meta = store.meta("lines")
+    rows = found.select(relpath.alias("file_relpath")).distinct().join(meta.parts, "file_relpath").join(meta.subsets.select("subset_uuid", *LINE_KEYS), "subset_uuid")
+    return rows.groupBy(*LINE_KEYS).agg(F.count("*").alias("files"))

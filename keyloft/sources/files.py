@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.errors.exceptions.base import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyloft.operators.predicates import not_ignored
 
 
 class Files:
@@ -62,6 +65,14 @@ class Files:
             self._fs.delete(self._path(rel), False)
             rel = rel.rpartition("/")[0]
 
+    def discover(self, rel: str, include: list[str], exclude: list[str] | None = None) -> DataFrame:
+        """path, below the folder, of every file that a glob of include matches and none of exclude."""
+        found = self.scan(rel, "*").select(F.expr(f"substring(path, instr(path, '/{rel}/') + {len(rel) + 2})").alias("path"))
+        wanted = F.lit(False)
+        for pattern in include:
+            wanted |= ~not_ignored(F.col("path"), [pattern])
+        return found.filter(wanted & not_ignored(F.col("path"), exclude or []))
+
     def scan(self, rel: str, pattern: str = "*.parquet") -> DataFrame:
         """path of every matching file below a folder, listed by Spark without reading content."""
         try:

@@ -223,17 +223,18 @@ class Store:
         instead_of (part_uuid), those parts leave the table in the same commit, if they all still are live.
         """
         keys = [c for c in sealed.columns if c not in ("subset_uuid", "part_ordinal", "content_hash", "n_rows", "part_stats_json", "part_uuid")]
-        unique = P.first_wins(sealed, ["subset_uuid", "content_hash"], ["part_ordinal"])
+        unique = self._save(P.first_wins(sealed, ["subset_uuid", "content_hash"], ["part_ordinal"]), f"{staging}/_unique")
         written: list[tuple[DataFrame, str]] = []
 
         def write(parts: DataFrame) -> None:
             target = f"{staging}/w{len(written)}"
-            chosen = self._save(parts, f"{staging}/_new{len(written)}")
+            chosen = parts if parts is unique else self._save(parts, f"{staging}/_new{len(written)}")
             rows = numbered.join(chosen.select("subset_uuid", "part_ordinal", "part_uuid"), ["subset_uuid", "part_ordinal"])
             self._write_parts(alias, schema, rows, chosen, target)
             written.append((chosen, target))
 
-        write(P.not_present(unique, self.catalog.table(alias, self.catalog.head(alias), "parts"), ["part_uuid"]))
+        first = self.catalog.head(alias)
+        write(P.not_present(unique, self.catalog.table(alias, first, "parts"), ["part_uuid"]) if first.paths.get("parts") else unique)
         self._tell("ingest.parts_written", bid=bid)
 
         def build(head: Snapshot):
@@ -242,14 +243,15 @@ class Store:
             canonical = _within(schema["canonical"], head.schema.get("canonical", {}))
             now = self.catalog.now()
             subsets, held = self.catalog.table(alias, head, "subsets"), self.catalog.table(alias, head, "parts")
-            absent = P.not_present(unique, held, ["part_uuid"])
-            for chosen, _ in written:
-                absent = P.not_present(absent, chosen, ["part_uuid"])
-            if not absent.isEmpty():
-                write(absent)
+            if first.paths.get("parts"):  # else everything was written
+                absent = P.not_present(unique, held, ["part_uuid"])
+                for chosen, _ in written:
+                    absent = P.not_present(absent, chosen, ["part_uuid"])
+                if not absent.isEmpty():
+                    write(absent)
             added = None
             for chosen, target in written:
-                rows = P.not_present(chosen, held, ["part_uuid"]).select(
+                rows = (P.not_present(chosen, held, ["part_uuid"]) if head.paths.get("parts") else chosen).select(
                     "part_uuid", "subset_uuid", F.lit(now).alias("created_at_epoch"), "n_rows", F.lit(1).cast("long").alias("scheme_version"),
                     F.concat(F.lit(f"{target.split('/', 2)[2]}/p/p="), F.col("part_uuid")).alias("file_relpath"), F.lit(False).alias("marked_for_deletion"), "content_hash",
                     F.lit(self.producer_id).alias("producer_id"), F.lit(bid).alias("batch_id"), "part_stats_json", F.lit(0).alias("enc_version"), F.lit(None).cast("string").alias("key_ref"), F.lit(None).cast("binary").alias("nonce"), F.lit(None).cast("binary").alias("tag"), F.lit(None).cast("long").alias("plaintext_size"),

@@ -8,12 +8,13 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloft.errors import SchemaMismatch
 from keyloft.functions import identity, jagged, text, timeutil
-from keyloft.operators import predicates
+from keyloft.operators import chunking, predicates
 from keyloft.schema import fingerprint, normal_type, promote, safe_name, structured
 
 NAN, INF = float("nan"), float("inf")
@@ -60,7 +61,8 @@ def test_predicates(spark):
     for bad in ({"nothing": 1}, {"r": (NAN, 1.0)}):
         with pytest.raises(ValueError):
             ids(**bad)
-    for bad in ({"t": 3}, {"b": [1, 2]}, {"i": (1, 2, 3)}):
+    assert ids(b=[1, 2]) == [1, 9] and ids(b="") == [5] and ids(r="nan") == [5]
+    for bad in ({"t": 3}, {"t": ("a", "b")}, {"i": (1, 2, 3)}):
         with pytest.raises(TypeError):
             ids(**bad)
 
@@ -119,6 +121,57 @@ def test_special_of_is_stable(v, scale):
     assert code or q == round(v * scale)
 
 
+def test_nested_pads_and_lengths(spark):
+    nested = spark.createDataFrame([([[1, 2, 3], [4]],), ([],), (None,)], "a array<array<int>>")
+    rows = [r[0] for r in nested.select(jagged.pad(F.col("a"), [3, 4], T.IntegerType())).collect()]
+    assert rows == [[[1, 2, 3, 0], [4, 0, 0, 0], [0] * 4], [[0] * 4] * 3, [[0] * 4] * 3]
+    for bad in ([1, 4], [3, 2]):
+        with pytest.raises(PySparkException, match="DataExceedsCanon"):
+            nested.select(jagged.pad(F.col("a"), bad, T.IntegerType())).collect()
+    shaped = nested.select(jagged.shape(F.col("a"), 2).alias("a_shape"))
+    assert [shaped.filter(jagged.at_least("a", k)).count() for k in ((2, 3), (2, 4), (0, 3), (0, 0))] == [1, 0, 1, 3]
+
+
+def test_numbers_and_sums_of_many_rows_keep_all_columns(spark):
+    """More rows than a range's sample, and columns beside those that order them."""
+    df = spark.range(0, 400_000, 1, 16).select(((F.col("id") * 7919) % 400_000).alias("k"), (F.col("id") % 3).alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("more"))
+    numbered = chunking.ordered_numbers(df, ["g"], ["k"])
+    w = Window.partitionBy("g").orderBy("k")
+    bad = numbered.withColumn("want", F.row_number().over(w) - 1).filter("want <> row_in_subset")
+    assert (numbered.count(), bad.count(), numbered.select("more").distinct().count()) == (400_000, 0, 400_000)
+    summed = chunking.running_sum(df, ["k"], F.col("k"), "upto")
+    assert summed.filter(F.col("upto") != F.col("k") * (F.col("k") + 1) / 2).count() == 0 and summed.count() == 400_000
+    sizes = chunking.pages(df, ["k"], 1000).groupBy("page").count().collect()
+    assert len(sizes) == 400 and {r["count"] for r in sizes} == {1000}
+    assert set(numbered.columns) == {"k", "g", "more", "row_in_subset"} and set(summed.columns) == {"k", "g", "more", "upto"}
+
+
+def test_numbers_of_null_groups_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "g string, k int")
+    rows = {(r.g, r.k, r.row_in_subset) for r in chunking.ordered_numbers(df, ["g"], ["k"]).collect()}
+    assert rows == {(None, 1, 0), (None, 3, 1), ("a", 2, 0)}
+    assert chunking.ordered_numbers(df.limit(0), ["g"], ["k"]).count() == 0 and chunking.running_sum(df.limit(0), ["k"], F.col("k"), "s").count() == 0
+
+
+def test_claims_of_large_subsets_against_a_loop(spark):
+    import random
+
+    rng = random.Random(1)
+    sizes = {s: [rng.choice([0, 1, 5, 30, 200]) for _ in range(500)] for s in ("a", "b")}
+    df = spark.createDataFrame([(s, i, n) for s, ns in sizes.items() for i, n in enumerate(ns)], "subset_uuid string, id long, n_rows long")
+    want = set()
+    for s, ns in sizes.items():
+        claim, total = 0, 0
+        for i, n in enumerate(ns):
+            if not n:
+                continue
+            if total and total + n > 100:
+                claim, total = claim + 1, 0
+            total += n
+            want.add((s, i, claim))
+    assert {(r.subset_uuid, r.id, r.claim) for r in chunking.pack_claims(df, 100).collect()} == want
+
+
 def test_sealed_payload_is_bound_to_its_data(spark):
     key, iv = F.lit(b"0123456789abcdef"), F.lit(b"abcdefghijkl")
     df = spark.range(1).select(text.sealed(F.lit(b"payload"), key, iv, F.lit("a|b")).alias("s"))

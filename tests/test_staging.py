@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from keyloft.cli import run
 from keyloft.functions import jagged
-from keyloft.sources.crypto import LocalKeys, decrypt_parts, encrypt_parts
+from keyloft.sources.crypto import LocalKeys, decrypt_parts, encrypt_parts, reencrypt_parts
 from keyloft.streaming.metrics import snapshot
 from keyloft.streaming.staging import Staging
 from tests.test_store import KEYS, ORDER, rows, store
@@ -19,7 +19,7 @@ def test_claims_and_crash_between_claim_and_seal(spark, tmp_path):
     staging = Staging(s, "d", KEYS, ORDER)
     for k in range(3):
         staging.enqueue(rows(spark, 10, start=10 * k))
-    assert snapshot(staging.table()) == {"subsets": 2, "rows": 30, "payloads": 6, "streams": {}}
+    assert snapshot(staging.table()) == {"subsets": 2, "rows": 30, "payloads": 6, "claimed_rows": 0, "streams": {}}
     assert staging.claim("w1", 10).count() == 4  # two payloads of five rows per subset
     staging.unclaim("w1")
     assert staging.table().filter("claimed_by is not null").count() == 0
@@ -45,8 +45,13 @@ def test_encrypted_files_open_only_in_place(spark, tmp_path):
         assert r.plaintext_size == len(plain[r.part_uuid]) and bytes(r.payload).endswith(bytes(r.tag))
     with pytest.raises(PySparkException):
         decrypt_parts(s, meta, sealed.withColumn("part_uuid", F.lit("other")), keys, ref).collect()
-    keys.rotate(ref)
+    key = keys.get_key(ref)
+    for shown in (sealed._jdf.queryExecution().toString(), decrypt_parts(s, meta, sealed, keys, ref)._jdf.queryExecution().toString()):
+        assert key.hex() not in shown.lower() and str(list(key))[1:20] not in shown
+    new = keys.rotate(ref)
+    kept = s._save(reencrypt_parts(meta, sealed, keys, ref, new), "moved")
     keys.revoke(ref)
+    assert {r.part_uuid: bytes(r.content) for r in decrypt_parts(s, meta, kept, keys, new).collect()} == plain
     with pytest.raises(KeyError):
         keys.get_key(ref)
 

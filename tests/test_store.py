@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from keyloft.errors import IdentityConflict, SchemaMismatch
+from keyloft.errors import DataExceedsCanon, IdentityConflict, InvalidKeyValue, SchemaMismatch
 from keyloft.operators import graph
 from keyloft.sources.files import Files
 from keyloft.sources.jsonstate import load_json, nodes
@@ -214,3 +214,105 @@ def test_call_graph_checks(spark):
     order = ["pending", "done"]
     assert {(r.path, r.status) for r in graph.advance_status(mods, ups, order).collect()} == {("a", "done"), ("b", "done"), ("c", "pending")}
     assert ("b", "pending") in {(r.path, r.status) for r in graph.advance_status(mods, ups, order, force=True).collect()}
+
+
+def test_no_reader_sees_compacted_rows_twice(spark, tmp_path):
+    """A reader looks at the store whenever anything is told, the time between any two commits included."""
+    s = store(spark, tmp_path)
+    for k in range(3):
+        s.append("d", rows(spark, 4, start=10 * k), KEYS, ORDER, part_rows=8)
+    seen, versions = [], s.catalog.head("d").version
+    other = Store(spark, s.files.root)
+    s.hooks.append(lambda event, what: seen.append((event, other.meta("d").subsets.agg(F.sum("live_rows")).first()[0])))
+    assert s.compact("d") == {"before": 6, "after": 2}
+    assert {n for _, n in seen} == {12} and "compact.committed" in {e for e, _ in seen}
+    assert s.catalog.head("d").version == versions + 1  # one commit
+    assert s.data(s.meta("d")).rows.count() == 12 and s.verify_chain("d") == []
+    assert s.soft_delete("d", unmark=True) == {"subsets": 0, "parts": 0}  # what was joined does not come back
+    report = s.fsck("d")
+    assert (report["missing_files"], report["orphans"], report["garbage"]) == (0, 0, 0)
+
+
+def test_compaction_starts_again_after_a_deletion(spark, tmp_path):
+    s = store(spark, tmp_path)
+    for k in range(2):
+        s.append("d", rows(spark, 4, start=10 * k), KEYS, ORDER, part_rows=8)
+    other, done = Store(spark, s.files.root), []
+
+    def interfere(event, what):
+        if event == "ingest.parts_written" and not done:
+            done.append(other.soft_delete("d", {"temp": 0.0}))
+
+    s.hooks.append(interfere)
+    s.compact("d")
+    assert s.data(s.meta("d")).rows.count() == 4 and s.data(s.meta("d", exclude_marked_subsets=False, exclude_marked_parts=False)).rows.count() == 8
+
+
+def test_append_survives_garbage_collection_of_the_same_content(spark, tmp_path):
+    s = store(spark, tmp_path)
+    s.append("d", rows(spark), KEYS, ORDER, part_rows=10)
+    s.soft_delete("d")
+    other = Store(spark, s.files.root)
+    s.hooks.append(lambda event, what: other.delete("d") if event == "ingest.parts_written" else None)
+    s.append("d", rows(spark), KEYS, ORDER, part_rows=10)
+    data = s.data(s.meta("d"))
+    assert data.missing == [] and data.rows.count() == 25 and s.verify_content("d").count() == 0
+
+
+def test_merge_survives_garbage_collection_of_the_same_content(spark, tmp_path):
+    a, b = store(spark, tmp_path, "a", producer_id="a"), store(spark, tmp_path, "b", producer_id="b")
+    a.append("d", rows(spark), KEYS, ORDER, part_rows=10)
+    b.append("d", rows(spark), KEYS, ORDER, part_rows=10)
+    b.soft_delete("d")
+    other = Store(spark, b.files.root)
+    b.hooks.append(lambda event, what: other.delete("d") if event == "merge.parts_copied" else None)
+    b.merge_from("d", a)
+    data = b.data(b.meta("d"))
+    assert data.missing == [] and data.rows.count() == 25
+
+
+def test_leftover_files_of_dropped_parts_are_garbage(spark, tmp_path):
+    s = store(spark, tmp_path)
+    s.append("d", rows(spark), KEYS, ORDER, part_rows=10)
+    s.soft_delete("d", {"temp": 1.0})
+    unlink, s._unlink = s._unlink, lambda alias, paths: 0  # a crash between the commit and the files
+    s.delete("d")
+    s._unlink = unlink
+    assert s.fsck("d", insert_orphans=False)["garbage"] == 2
+    report = s.fsck("d")
+    assert (report["garbage"], report["inserted"]) == (2, 0) and s.fsck("d")["garbage"] == 0
+    s.append("d", rows(spark), KEYS, ORDER)
+    assert s.data(s.meta("d")).rows.count() == 25
+
+
+def test_errors_of_rows_have_names(spark, tmp_path):
+    s = store(spark, tmp_path)
+    s.append("d", rows(spark), KEYS, ORDER, jagged=["jag"])
+    with pytest.raises(InvalidKeyValue, match="key site is null"):
+        s.append("d", rows(spark).withColumn("site", F.lit(None).cast("string")), KEYS, ORDER)
+    with pytest.raises(InvalidKeyValue, match="too large"):
+        s.append("d", rows(spark).withColumn("temp", F.lit(1e30)), KEYS, ORDER)
+    with pytest.raises(SchemaMismatch, match="field seq"):
+        s.append("d", rows(spark).withColumn("seq", F.lit(None).cast("long")), KEYS, ORDER)
+    with pytest.raises(DataExceedsCanon, match="jag"):
+        s.append("d", rows(spark).withColumn("jag", F.array_repeat(F.lit(1.0), 4)), KEYS, ORDER)
+    assert s.data(s.meta("d")).rows.count() == 25
+    s.rebuild("d", "wide", ORDER, canonical={"jag": [9]})
+    s.append("wide", rows(spark, start=100).withColumn("jag", F.array_repeat(F.lit(1.0), 9)), KEYS, ORDER)
+    assert s.data(s.meta("wide"), at_least={"jag": 4}).rows.count() == 25
+
+
+def test_deltas_are_gathered_and_events_told(spark, tmp_path, monkeypatch):
+    from keyloft.sources import catalog
+
+    monkeypatch.setattr(catalog, "MAX_FOLDERS", 2)
+    s, told = store(spark, tmp_path), []
+    s.hooks.append(lambda event, what: told.append(event))
+    for k in range(4):
+        s.append("d", rows(spark, 2, start=10 * k), KEYS, ORDER)
+    head = s.catalog.head("d")
+    assert max(len(p) for p in head.paths.values()) <= 2 and s.tail_batches("d").count() == 4 and s.meta("d").parts.count() == 8
+    assert {"ingest.begin", "ingest.parts_hashed", "ingest.parts_written", "commit.begin", "commit.done", "batch.committed"} <= set(told)
+    counts = s.optimize("d")
+    assert counts["parts"] == 8 and {len(p) for p in s.catalog.head("d").paths.values()} == {1}
+    assert s.data(s.meta("d")).rows.count() == 8 and {r.marked_for_deletion: (r.rows, r.parts, r.subsets) for r in s.statistics("d").collect()} == {False: (8, 8, 2)}
