@@ -109,7 +109,7 @@ def q_store_meta(spark, sf_dir):
     return meta.subsets.join(held, "subset_uuid").select(*LINE_KEYS, "live_rows", "n_parts", "longest", "buffer_rows", F.col("marked_for_deletion").alias("marked"))
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, l_extendedprice, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate,
+@query(f"""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_extendedprice, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate,
 (row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY {', '.join(LINE_ORDER)}) - 1) % {LINE_ROWS} AS row_in_part FROM lineitem WHERE l_returnflag = 'A'""")
 def q_store_data(spark, sf_dir):
     """Rows of chosen subsets, with their place in their part."""
@@ -138,10 +138,10 @@ def q_store_empty_selection(spark, sf_dir):
     store = _lines(spark, sf_dir)
     meta = store.meta("lines", parts_end_time="2001-01-01")
     data = store.data(meta)
-    return data.subset_bounds.join(meta.subsets.select("subset_uuid", *LINE_KEYS), "subset_uuid").drop("subset_uuid").withColumn("n_read", F.lit(data.rows.count()))
+    return data.subset_bounds.join(meta.subsets.select("subset_uuid", *LINE_KEYS), "subset_uuid").drop("subset_uuid").withColumn("n_read", F.lit(data.rows.count()).cast("long"))
 
 
-@query("SELECT l_returnflag, l_linestatus, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY " + ", ".join(LINE_ORDER) + ") AS k FROM lineitem) WHERE k <= 5")
+@query("SELECT l_returnflag, l_linestatus, l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY " + ", ".join(LINE_ORDER) + ") AS k FROM lineitem) WHERE k <= 5")
 def q_peek(spark, sf_dir):
     """The first five rows of the first part of each subset."""
     store = _lines(spark, sf_dir)
@@ -333,7 +333,7 @@ def q_fsck_orphans(spark, sf_dir):
     store._write_parts("orders", store.catalog.head("orders").schema, copied, all_parts.parts, f"{folder}/data/found")
     report = store.fsck("orders")
     rows = store.data(store.meta("orders")).rows.agg(F.count("*").alias("rows"))
-    return rows.select(F.lit(store.meta("orders").parts.count()).alias("parts"), *[F.lit(report[k]).cast("long").alias(k) for k in ("inserted", "skipped", "conflicts", "orphans")], F.lit(missing).cast("long").alias("missing_files"), "rows")
+    return rows.select(F.lit(store.meta("orders").parts.count()).cast("long").alias("parts"), *[F.lit(report[k]).cast("long").alias(k) for k in ("inserted", "skipped", "conflicts", "orphans")], F.lit(missing).cast("long").alias("missing_files"), "rows")
 
 
 @query(f"SELECT o_orderstatus, count(*) AS rows, (SELECT p FROM {_PARTS} WHERE o_orderstatus = 'P') AS missing FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")

@@ -36,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[os.getpid()]
 
 
-_open: list[list[Scratch]] = []
+#: Folders of the Scratch objects made in each open block; names only, for classes that make one are sent to executors.
+_open: list[list[str]] = []
 
 
 @contextmanager
@@ -49,8 +50,18 @@ def released() -> Iterator[None]:
     try:
         yield
     finally:
-        for scratch in _open.pop():
-            scratch._delete(scratch.root)
+        for root in _open.pop():
+            _delete(SparkSession.getActiveSession(), root)
+
+
+def _delete(spark: SparkSession | None, path: str) -> None:
+    try:
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may have ended; the folder is only scratch
+        if path.startswith("file:"):
+            shutil.rmtree(path[5:] if not path.startswith("file://") else path[7:], ignore_errors=True)
 
 
 class Scratch:
@@ -68,9 +79,9 @@ class Scratch:
             spark.conf.set(ROWS_PER_BATCH, "1000")
         if int(spark.conf.get(BYTES_PER_BATCH, None) or -1) < 0:
             spark.conf.set(BYTES_PER_BATCH, str(16 << 20))
-        atexit.register(self._delete, self.root)
+        atexit.register(_delete, spark, self.root)
         if _open:
-            _open[-1].append(self)
+            _open[-1].append(self.root)
 
     def path(self, label: str) -> str:
         self.n += 1
@@ -87,13 +98,4 @@ class Scratch:
         """Deletes the tables of DataFrames that ``save`` returned; others are left alone."""
         for df in tables:
             if path := getattr(df, "_scratch_path", None):
-                self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        try:
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended; the folder is only scratch
-            if path.startswith("file:"):
-                shutil.rmtree(path[5:] if not path.startswith("file://") else path[7:], ignore_errors=True)
+                _delete(self.spark, path)

@@ -211,10 +211,12 @@ class Store:
         out = data.repartition("part_uuid").sortWithinPartitions("part_uuid", "row_in_part").write.partitionBy("p").option("compression", config["compression"])
         if "compression_level" in config:
             out = out.option("parquet.compression.codec.zstd.level", config["compression_level"])
-        out.parquet(self.files.uri(f"{target}/p"))
         about = parts.select("part_uuid", "subset_uuid", "content_hash", "n_rows", "part_stats_json")
         about = about.withColumns({"dataset_uuid": F.lit(self.catalog.info(alias)["dataset_uuid"]), "scheme_version": F.lit(1).cast("long"), "producer_id": F.lit(self.producer_id), "batch_id": F.lit(target.rpartition("/")[2]), "created_at_epoch": F.lit(self.catalog.now())})
-        about.hint("rebalance").write.parquet(self.files.uri(f"{target}/header"))
+        with ThreadPoolExecutor(2) as pool:
+            both = [pool.submit(out.parquet, self.files.uri(f"{target}/p")), pool.submit(about.hint("rebalance").write.parquet, self.files.uri(f"{target}/header"))]
+            for each in both:
+                each.result()
 
     def _commit_parts(self, alias: str, schema: dict, numbered: DataFrame, sealed: DataFrame, bid: str, staging: str, instead_of: DataFrame | None = None) -> Snapshot:
         """Writes the parts that are new and commits; parts that were deleted softly are revived instead of written again.
@@ -258,21 +260,25 @@ class Store:
                 )
                 added = rows if added is None else added.unionByName(rows)
             tables: dict[str, DataFrame | Added] = {}
-            marked = held.filter("marked_for_deletion").join(unique.select("part_uuid"), "part_uuid", "left_semi").select("part_uuid")
+            marked = held.filter("marked_for_deletion").select("part_uuid")
+            none_marked = not head.paths.get("parts") or marked.isEmpty()
+            marked = marked.join(unique.select("part_uuid"), "part_uuid", "left_semi")
             if instead_of is not None:
                 if not instead_of.join(held.filter(live()), "part_uuid", "left_anti").isEmpty():
                     raise CommitConflict("parts to be replaced are gone")
                 kept = P.not_present(held, P.not_present(instead_of, unique, ["part_uuid"]), ["part_uuid"])
                 tables["parts"] = self._unmarked(kept, marked, "part_uuid").unionByName(added.select(kept.columns))
                 tables["dropped"] = Added(self._dropped(held.join(P.not_present(instead_of, unique, ["part_uuid"]), "part_uuid", "left_semi"), now))
-            elif marked.isEmpty():
+            elif none_marked:
                 tables["parts"] = Added(added.select(held.columns))
             else:
                 tables["parts"] = self._unmarked(held, marked, "part_uuid").unionByName(added.select(held.columns))
             touched = sealed.groupBy("subset_uuid").agg(*[F.first(k).alias(k) for k in keys])
             fresh = P.not_present(touched, subsets, ["subset_uuid"]).withColumns({"created_at_epoch": F.lit(now), "marked_for_deletion": F.lit(False), "total_rows": F.lit(0).cast("long")}).select(subsets.columns)
-            marked = subsets.filter("marked_for_deletion").join(touched.select("subset_uuid"), "subset_uuid", "left_semi").select("subset_uuid")
-            tables["subsets"] = Added(fresh) if marked.isEmpty() else self._unmarked(subsets, marked, "subset_uuid").unionByName(fresh)
+            marked = subsets.filter("marked_for_deletion").select("subset_uuid")
+            none_marked = not head.paths.get("subsets") or marked.isEmpty()
+            marked = marked.join(touched.select("subset_uuid"), "subset_uuid", "left_semi")
+            tables["subsets"] = Added(fresh) if none_marked else self._unmarked(subsets, marked, "subset_uuid").unionByName(fresh)
             tables |= self._batch_tables(alias, head, schema, self.producer_id, bid, unique, now)
             return schema | {"canonical": canonical}, tables, {"op": "append" if instead_of is None else "compact", "bid": bid}
 
