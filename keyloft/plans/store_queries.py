@@ -5,7 +5,7 @@ Ids of subsets and parts are BLAKE2b digests, which SQL lacks, so results name s
 
 from __future__ import annotations
 
-import uuid
+import json
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from keyloft.operators import parts as P
 from keyloft.schema import key_type, normal_type
 from keyloft.scratch import Scratch, shared_dir
+from keyloft.sources import jsonstate
 from keyloft.sources.crypto import LocalKeys, decrypt_parts, encrypt_parts, reencrypt_parts
 from keyloft.sources.store import Store
 from keyloft.streaming.ingest import bounded_stream, ingest, stream_into
@@ -117,7 +118,7 @@ def q_store_data(spark, sf_dir):
     return store.data(store.meta("lines", l_returnflag="A"), ["l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"]).rows.drop("subset_uuid", "part_uuid")
 
 
-@query(f"""SELECT l_returnflag, l_linestatus, count(*) AS rows, ((count(*) + {LINE_ROWS - 1}) // {LINE_ROWS})::BIGINT AS parts, true AS gapless, (SELECT count(*) FROM lineitem) AS last_row FROM lineitem GROUP BY 1, 2""")
+@query(f"""SELECT l_returnflag, l_linestatus, count(*) AS rows, ((count(*) + {LINE_ROWS - 1}) // {LINE_ROWS})::BIGINT AS parts, true AS gapless, (SELECT count(*) FROM lineitem) AS last_row, (SELECT count(*) FROM lineitem) AS total FROM lineitem GROUP BY 1, 2""")
 def q_store_bounds(spark, sf_dir):
     """Offsets of subsets and parts among the rows of a selection: gapless, and as long as the subsets are."""
     store = _lines(spark, sf_dir)
@@ -129,7 +130,7 @@ def q_store_bounds(spark, sf_dir):
     of_parts = data.bounds.groupBy("subset_uuid").agg(F.min("row_start").alias("lo"), F.max("row_end").alias("hi"), F.count("*").alias("n"))
     rows = subsets.join(of_parts, "subset_uuid").join(meta.subsets.select("subset_uuid", *LINE_KEYS), "subset_uuid")
     same = F.col("gapless") & (F.col("lo") == F.col("row_start")) & (F.col("hi") == F.col("row_end")) & (F.col("n") == F.col("part_end") - F.col("part_start"))
-    return rows.select(*LINE_KEYS, (F.col("row_end") - F.col("row_start")).alias("rows"), F.col("n").alias("parts"), same.alias("gapless"), F.max("row_end").over(Window.partitionBy()).alias("last_row"))
+    return rows.select(*LINE_KEYS, (F.col("row_end") - F.col("row_start")).alias("rows"), F.col("n").alias("parts"), same.alias("gapless"), F.max("row_end").over(Window.partitionBy()).alias("last_row"), F.lit(meta.total_rows()).cast("long").alias("total"))
 
 
 @query("SELECT l_returnflag, l_linestatus, 0::BIGINT AS row_start, 0::BIGINT AS row_end, 0::BIGINT AS part_start, 0::BIGINT AS part_end, 0::BIGINT AS n_read FROM lineitem GROUP BY 1, 2")
@@ -382,17 +383,24 @@ def q_store_merge(spark, sf_dir):
     return out
 
 
-@query(f"""SELECT 'batch of ' || o_orderpriority AS bid, o_orderstatus, sum(n)::BIGINT AS rows, sum(p)::BIGINT AS parts, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS tail FROM
-(SELECT o_orderpriority, o_orderstatus, count(*) AS n, (count(*) + {ORDER_ROWS - 1}) // {ORDER_ROWS} AS p FROM orders GROUP BY 1, 2) GROUP BY 1, 2""")
-def q_store_batches(spark, sf_dir):
-    """Batches of the change feed, with the subsets and rows of each."""
+def _batches(spark: SparkSession, sf_dir: str) -> Store:
+    """Dataset orders in five batches, one a priority."""
 
     def fill(store: Store) -> None:
         orders = _orders(spark, sf_dir)
         for r in orders.select("o_orderpriority").distinct().sort("o_orderpriority").collect():  # five rows
             _append_orders(store, orders.filter(F.col("o_orderpriority") == r[0]), bid=f"batch of {r[0]}")
 
-    store = _shared(spark, sf_dir, "batches", fill)
+    return _shared(spark, sf_dir, "batches", fill)
+
+
+_BATCHED = f"(SELECT o_orderpriority, o_orderstatus, count(*) AS n, (count(*) + {ORDER_ROWS - 1}) // {ORDER_ROWS} AS p FROM orders GROUP BY 1, 2)"
+
+
+@query(f"SELECT 'batch of ' || o_orderpriority AS bid, o_orderstatus, n AS rows, p::BIGINT AS parts, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS tail FROM {_BATCHED}")
+def q_store_batches(spark, sf_dir):
+    """Batches of the change feed, with the subsets and rows of each."""
+    store = _batches(spark, sf_dir)
     tail, out = store.tail_batches("orders", 20).collect(), None
     for b in tail:
         rows = store.show_batch("orders", b.bid).groupBy("bid", "o_orderstatus").agg(F.sum("n_rows").alias("rows"), F.count("*").alias("parts"))
@@ -400,6 +408,37 @@ def q_store_batches(spark, sf_dir):
     return out.withColumn("tail", F.lit(len(tail)).cast("long"))
 
 
+@query(f"""SELECT 'orders' AS alias, sum(p)::BIGINT AS files, sum(p)::BIGINT AS parts, 0::BIGINT AS missing_files, 0::BIGINT AS orphans, 0::BIGINT AS broken, sum(n)::BIGINT AS live_rows, count(DISTINCT o_orderstatus) AS subsets FROM {_BATCHED}""")
+def q_store_audit(spark, sf_dir):
+    """What an audit of a store finds, by way of the id that its catalog gave the dataset."""
+    store = _batches(spark, sf_dir)
+    alias = store.catalog.by_uuid(store.list_nodes().first().dataset_uuid)["alias"]
+    found = store.audit(alias)
+    counts = store.statistics(alias).filter("not marked_for_deletion")
+    return counts.select(F.lit(alias).alias("alias"), *[F.lit(found[k]).cast("long").alias(k) for k in ("files", "parts", "missing_files", "orphans")], F.lit(len(found["broken_batches"])).cast("long").alias("broken"), F.col("rows").alias("live_rows"), "subsets")
+
+
+@query(f"""SELECT 'batch_parts' AS name, sum(p)::BIGINT AS rows, true AS whole FROM {_BATCHED} UNION ALL SELECT 'parts', sum(p)::BIGINT, true FROM {_BATCHED}
+UNION ALL SELECT 'batches', count(DISTINCT o_orderpriority), true FROM orders UNION ALL SELECT 'subsets', count(DISTINCT o_orderstatus), true FROM orders""")
+def q_store_optimize(spark, sf_dir):
+    """Tables of a store that several commits added to, written anew in one folder each."""
+    store = _batches(spark, sf_dir)
+    counts = store.optimize("orders")
+    folders = store.catalog.head("orders").paths
+    return spark.createDataFrame([(name, n, len(folders[name]) == 1) for name, n in counts.items()], "name string, rows long, whole boolean")
+
+
+@query("SELECT 'edge' AS kind, n_name AS a, r_name AS b FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'module', n_name, CASE WHEN n_regionkey = 0 THEN 'done' ELSE 'pending' END FROM nation")
+def q_json_state(spark, sf_dir):
+    """Call graph and progress kept as JSON files; a missing file reads as nothing."""
+    files = _store(spark).files
+    pairs = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", "n_regionkey").collect()  # 25 rows
+    files.create("edges.json", json.dumps({"out": {r.n_name: [r.r_name] for r in pairs}}))
+    files.create("progress.json", json.dumps({"modules": {r.n_name: {"status": "done"} if r.n_regionkey == 0 else {} for r in pairs}}))
+    edges = jsonstate.edges(spark, files, "edges.json").union(jsonstate.edges(spark, files, "none.json"))
+    return edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")).union(jsonstate.progress(spark, files, "progress.json").select(F.lit("module"), "path", "status"))
+
+
 @query(f"""SELECT 'intact' AS state, 0::BIGINT AS broken_batches, 0::BIGINT AS bad_parts, sum(p)::BIGINT AS parts FROM {_PARTS}
 UNION ALL SELECT 'edited', 1, (SELECT p FROM {_PARTS} WHERE o_orderstatus = 'F')::BIGINT, sum(p)::BIGINT FROM {_PARTS}""")
 def q_store_verify(spark, sf_dir):

@@ -57,6 +57,10 @@ class Meta:
     subsets: DataFrame
     parts: DataFrame
 
+    def total_rows(self) -> int:
+        """Rows of all parts selected, by the parts table alone."""
+        return self.parts.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+
 
 @dataclass
 class Data:
