@@ -41,7 +41,7 @@ _open: list[list[str]] = []
 
 
 @contextmanager
-def released() -> Iterator[None]:
+def released(spark: SparkSession) -> Iterator[None]:
     """Deletes, at the end of the block, every table that was written by a Scratch made in it.
 
     What is to outlive the block has to be written by a Scratch made outside.
@@ -51,10 +51,10 @@ def released() -> Iterator[None]:
         yield
     finally:
         for root in _open.pop():
-            _delete(SparkSession.getActiveSession(), root)
+            _delete(spark, root)
 
 
-def _delete(spark: SparkSession | None, path: str) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
