@@ -89,7 +89,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        with released():
+        with released(spark):
             kept = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         scratch.drop(docs)
         docs = kept
