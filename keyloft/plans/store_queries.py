@@ -175,7 +175,7 @@ def q_store_predicates(spark, sf_dir):
     asked = {"int": {"c_nationkey": "7"}, "range": {"c_nationkey": (9, 3), "rich": True}, "text": {"c_mktsegment": "BUILDING"}, "boolean": {"rich": 0}, "reserved": {"total_rows": (2, 20)}, "live": {"marked_for_deletion": False}, "window": {"subset_start_time": "2001-01-01", "subset_end_time": 4e9}}
     out = None
     for name, predicates in asked.items():
-        rows = store.meta("customers", **predicates).subsets.agg(F.count("*").alias("subsets"), F.sum("total_rows").alias("rows")).select(F.lit(name).alias("p"), "subsets", "rows")
+        rows = store.meta("customers", **predicates).subsets.groupBy(F.lit(name).alias("p")).agg(F.count("*").alias("subsets"), F.sum("total_rows").alias("rows"))  # no row if nothing matches
         out = rows if out is None else out.union(rows)
     return out
 

@@ -25,3 +25,16 @@ def test_subset_uuid_is_the_blake2b_of_the_identity_text(spark, sf_dir):
     for r in rows:
         text = f"{r.c_mktsegment},{r.c_nationkey}"
         assert r.subset_uuid == str(uuid.UUID(bytes=hashlib.blake2b(text.encode(), digest_size=16).digest()))
+
+
+@pytest.mark.parametrize(("n", "nation", "balance", "absent"), [(21, 4, 1.0, {"int", "boolean", "reserved"}), (20, 7, -1.0, {"range"}), (1, 2, 0.0, {"int", "range", "reserved"})])
+def test_predicates_that_match_no_subset_give_no_row(spark, tmp_path, n, nation, balance, absent):
+    import duckdb
+
+    rows = [(i, nation, balance, s) for i, s in enumerate(["BUILDING", "MACHINERY"] * n)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    df = QUERIES["q_store_predicates"](spark, str(tmp_path))
+    assert_same(df, con, ORACLE["q_store_predicates"])
+    assert {r.p for r in df.collect()} == {"int", "range", "text", "boolean", "reserved", "live", "window"} - absent
